@@ -14,6 +14,7 @@ from vellum.llm.quality import quality_rules
 from vellum.llm.secrets import secret_scan
 from vellum.llm.simhash import near_duplicates
 from vellum.llm.token_counts import token_counts
+from vellum.llm.word_windows import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,7 @@ def over_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": over_documents(quality_rules),
     "op3_secret_scan": over_documents(secret_scan),
+    "op4_substring_dedup": over_documents(substring_dedup),
     "op5_token_counts": over_documents(token_counts),
     "op6_bpe": over_documents(bpe_digests),
     "op7_packing": over_documents(pack_documents),

@@ -15,12 +15,19 @@ from vellum.llm.common import map_rows, quoted, text_of
 WIDTH = 4096
 FIT_ROWS = 2000
 LETTER = regex.compile(r"\p{L}")
+#: Letters below which a text is never rejected for its distance.
+SURE_LETTERS = 20
+LETTERS_ONLY = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 UNDETERMINED = "und"
 
 
 def gram_counts(text: str, width: int = WIDTH) -> np.ndarray:
-    """Counts of the lower-cased text's grams of 1 to 3 bytes, hashed to ``width`` slots."""
-    b = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint32)
+    """Counts of grams of 1 to 3 bytes, hashed to ``width`` slots.
+
+    The text is lower-cased; runs of ASCII characters that aren't letters are one space.
+    """
+    words = text.lower().encode().translate(LETTERS_ONLY).split()
+    b = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
     out = np.bincount(b, minlength=width)
     for size in (2, 3):
         if len(b) >= size:
@@ -41,13 +48,14 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Unit centroids of at most ``k`` clusters by cosine; seeds are the rows farthest from those before."""
-    seeds = [int(np.argmax(vectors @ vectors.mean(axis=0)))]
-    nearest = vectors @ vectors[seeds[0]]
-    while len(seeds) < min(k, len(vectors)) and nearest.min() < 0.999:
-        seeds.append(int(np.argmin(nearest)))
-        nearest = np.maximum(nearest, vectors @ vectors[seeds[-1]])
-    centroids = vectors[seeds]
+    """Unit centroids of at most ``k`` clusters by cosine.
+
+    The rows, in the order of their cosine with the mean, are cut into ``k``
+    equal parts; the means of the parts are the seeds.
+    """
+    order = np.argsort(vectors @ vectors.mean(axis=0), kind="stable")
+    seeds = np.stack([vectors[part].sum(axis=0) for part in np.array_split(order, min(k, len(vectors)))])
+    centroids = seeds / np.linalg.norm(seeds, axis=1, keepdims=True)
     for _ in range(rounds):
         own = np.argmax(vectors @ centroids.T, axis=1)
         sums = np.stack([vectors[own == c].sum(axis=0) if (own == c).any() else centroids[c] for c in range(len(centroids))])
@@ -65,6 +73,9 @@ class Centroids:
     idf: np.ndarray
     floor: np.ndarray
 
+    def rejects(self, text: str, best: int, score: float) -> bool:
+        return bool(score < self.floor[best]) and sum(map(str.isalpha, text)) >= SURE_LETTERS
+
     def nearest(self, text: str) -> tuple[int, float]:
         scores = self.vectors @ weighted(gram_counts(text, len(self.idf)), self.idf)
         best = int(np.argmax(scores))
@@ -88,16 +99,16 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fi
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, k: int = 4, slack: float = 0.5) -> Centroids:
     """Learn centroids from at most ``fit_rows`` rows (2000 by default), whatever the size of the table.
 
-    A row is rejected later if its cosine with the nearest centroid is below
-    ``slack`` times the least that the centroid's own sample rows of 20 letters
-    or more had.
+    A row of at least ``SURE_LETTERS`` letters is rejected later if its cosine
+    with the nearest centroid is below ``slack`` times the least that any such
+    row of the sample had with its own.
     """
 
     def start():
         def one(lang: str, text: str) -> Iterator[tuple]:
             if LETTER.search(text):
                 counts = gram_counts(text)
-                yield lang, np.minimum(counts, 2**31 - 1).astype("<u4").tobytes(), sum(map(str.isalpha, text)) >= 20
+                yield lang, np.minimum(counts, 2**31 - 1).astype("<u4").tobytes(), sum(map(str.isalpha, text)) >= SURE_LETTERS
 
         return one
 
@@ -113,11 +124,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         of_lang = vectors[labels == lang]
         found = clustered(of_lang, k)
         scores = of_lang @ found.T
-        own, best, sure = np.argmax(scores, axis=1), scores.max(axis=1), long[labels == lang]
-        for c in range(len(found)):
-            mine = best[(own == c) & sure]
-            owner.append(n)
-            floor.append(slack * float(mine.min()) if len(mine) else 0.0)
+        sure = scores.max(axis=1)[long[labels == lang]]
+        owner += [n] * len(found)
+        floor += [slack * float(sure.min()) if len(sure) else 0.0] * len(found)
         centroids.append(found)
     return Centroids([str(x) for x in languages], np.array(owner), np.concatenate(centroids), idf, np.array(floor))
 
@@ -135,7 +144,7 @@ def identify(docs: DataFrame, model: Centroids, *, id_col: str = "doc_id", text_
                 yield doc_id, held_out, UNDETERMINED, 0.0, True
                 return
             best, score = model.nearest(text)
-            yield doc_id, held_out, model.languages[model.owner[best]], score, bool(score < model.floor[best])
+            yield doc_id, held_out, model.languages[model.owner[best]], score, model.rejects(text, best, score)
 
         return one
 

@@ -112,10 +112,10 @@ def quality_rules(
     text_col: str = "text",
     lang_col: str = "lang",
     common_words: dict[str, str] = COMMON_WORDS,
-    max_char_distance: float = 0.35,
-    max_word_distance: float = 0.70,
+    max_char_distance: float = 0.30,
+    max_word_distance: float = 0.33,
     min_chars: int = 200,
-    min_words: int = 50,
+    min_words: int = 60,
 ) -> DataFrame:
     """Base counts of each document and the verdict of the divergence rules.
 

@@ -25,7 +25,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 IDENTIFIERS = "abstract address application argument array assert async attribute authorization await bearer begin boolean bucket buffer build bytes cache callback catch certificate channel char class client cluster code collection column commit component config configuration connection console const constructor container content context controller cookie count counter create credential current cursor data database date debug default define delete description destination dictionary directory document domain double element else email encoding endpoint entity enum environment error event example except exception execute export extends extension factory false field file filename filter final finally float folder format function generate group handler hash header height helper host https identifier image implements import index information init input insert instance integer interface internal invalid iterator json kernel label lambda language length level library limit line link list listener load local location logger login long manager mapping master match maximum memory message method minimum model module name namespace network node null number object offset online operation option order output package page parameter parent parse partition pass path pattern payload permission pipeline plugin pointer policy position prefix previous primary private process production profile project property protocol provider proxy public query queue random range read record reference region register registry release remote remove render replace repository request required reset resource response result return role route rule runtime sample scheduler schema scope script search section security select sequence server service session setting signature size socket source stack start state static status storage stream string struct submit suffix summary super switch system table target task template test text thread throw timeout timestamp title token total trace transaction transform true type undefined unique update upload user username utility valid value variable vector version view void warning webhook width window workflow wrapper write"
 CODE = " = os.environ.get(\" = getenv(' if __name__ == \"__main__\": import json public static final String const require(' export default function() { return } \"Authorization\": \"Bearer \" https://www.example.com/api/v1/ 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ aaaaaaaa 00000000 -------- ======== xxxxxxxx ________ your_api_key_here changeme placeholder example_password "
 REACH = 48
-MIN_BITS = 3.5
+MIN_BITS = 4.0
 
 
 def primed_dictionary() -> zstandard.ZstdCompressionDict:
@@ -39,9 +39,11 @@ class Novelty:
         self.packer = zstandard.ZstdCompressor(level=19, dict_data=primed_dictionary(), write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def bits_per_char(self, before: str, candidate: str, after: str) -> float:
+        """The lower of the figures for the string as it is and in lower case, as names in code come in both."""
         around = (before + after).encode()
-        whole = (before + after + candidate).encode()
-        return 8 * (len(self.packer.compress(whole)) - len(self.packer.compress(around))) / max(1, len(candidate))
+        alone = len(self.packer.compress(around))
+        more = min(len(self.packer.compress(around + value.encode())) for value in {candidate, candidate.lower()})
+        return 8 * (more - alone) / max(1, len(candidate))
 
 
 def is_sensitive(text: str) -> bool:
