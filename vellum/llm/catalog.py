@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm.bpe import bpe_digests
+from vellum.llm.byte_windows import suffix_dedup
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.language import language_id
 from vellum.llm.packing import pack_documents
@@ -24,6 +25,7 @@ def over_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": over_documents(suffix_dedup),
     "op2_quality_rules": over_documents(quality_rules),
     "op3_secret_scan": over_documents(secret_scan),
     "op4_substring_dedup": over_documents(substring_dedup),

@@ -103,8 +103,11 @@ def key_rows(chunk: int, high: np.ndarray, low: np.ndarray, bits: int) -> Iterat
         yield chunk, int(bucket[a]), np.array([high[a]], "<u8").tobytes() + planes(step) + planes(low[a:b])
 
 
-def repeated_bits(keys: DataFrame) -> DataFrame:
-    """For each row of keys, a bit for each key: whether another chunk has it."""
+def repeated_bits(keys: DataFrame, hot: int | None = None) -> DataFrame:
+    """For each row of keys, a bit for each key: whether another chunk has it.
+
+    With ``hot``, as many bits follow that tell whether so many chunks have it.
+    """
     schema = to_arrow(BITS)
     record = 12
 
@@ -120,12 +123,13 @@ def repeated_bits(keys: DataFrame) -> DataFrame:
             sizes.append(n)
         h, w = np.concatenate(high), np.concatenate(low)
         order = np.lexsort((w, h))
-        same = (h[order][1:] == h[order][:-1]) & (w[order][1:] == w[order][:-1])
-        repeated = np.zeros(len(h), bool)
-        repeated[order[1:][same]] = True
-        repeated[order[:-1][same]] = True
+        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])])
+        group = np.empty(len(h), np.int64)
+        group[order] = np.cumsum(new) - 1
+        times = np.bincount(group)[group]
+        sets = [times > 1] if hot is None else [times > 1, times >= hot]
         ends = np.cumsum(sizes)
-        bits = [np.packbits(repeated[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]
+        bits = [np.packbits(np.concatenate([x[e - n : e] for x in sets])).tobytes() for e, n in zip(ends, sizes, strict=True)]
         return pa.Table.from_arrays([table["chunk"], table["bucket"], pa.array(bits, pa.binary())], schema=schema)
 
     return keys.groupBy("bucket").applyInArrow(one, BITS)
@@ -137,13 +141,15 @@ def with_bits(chunks: DataFrame, bits: DataFrame) -> DataFrame:
     return chunks.join(gathered, "chunk", "left")
 
 
-def read_bits(bits: list[bytes] | None, high: np.ndarray, leading: int) -> np.ndarray:
-    """The bits of a chunk's sorted distinct keys."""
+def read_bits(bits: list[bytes] | None, high: np.ndarray, leading: int, sets: int = 1) -> np.ndarray:
+    """The bits of a chunk's sorted distinct keys; with more than one set, a row for each."""
     if not len(high):
-        return np.zeros(0, bool)
+        return np.zeros((sets, 0), bool) if sets > 1 else np.zeros(0, bool)
     bucket = high >> np.uint64(64 - leading)
     _, counts = np.unique(bucket, return_counts=True)
-    return np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(bits, counts.tolist(), strict=True)]).astype(bool)
+    found = [np.unpackbits(np.frombuffer(b, np.uint8), count=sets * n).reshape(sets, n) for b, n in zip(bits, counts.tolist(), strict=True)]
+    out = np.concatenate(found, axis=1).astype(bool)
+    return out if sets > 1 else out[0]
 
 
 def each_chunk(chunks: DataFrame, schema: str, one: Callable[..., Iterator[tuple]], extra: tuple[str, ...] = ()) -> DataFrame:
