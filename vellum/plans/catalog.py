@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from vellum.plans import queries_retrieval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_retrieval.QUERIES}
+ORACLE_SQL: dict[str, str] = {**queries_retrieval.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Hybrid search of every benchmark item over all documents."""
+    return QUERIES["hybrid_search"](spark, sf_dir)
