@@ -21,8 +21,8 @@ def ranked(keys: list[np.ndarray]) -> np.ndarray:
     else:
         order = np.lexsort(keys[::-1])
         new = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    out = np.empty(len(order), np.int64)
-    out[order] = np.concatenate([[0], np.cumsum(new)])
+    out = np.empty(len(order), np.int32)
+    out[order] = np.concatenate([np.zeros(1, np.int32), np.cumsum(new, dtype=np.int32)])
     return out
 
 
@@ -31,7 +31,24 @@ def with_equal(rank: np.ndarray) -> np.ndarray:
     return np.bincount(rank)[rank] > 1 if len(rank) else np.zeros(0, bool)
 
 
-def repeated_prefixes(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+def leading_words(text: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place, as a number in the order of the bytes."""
+    every = np.ndarray((len(text) - WORD + 1,), dtype=">u8", buffer=text, strides=(1,))
+    return every[places].astype(np.uint64)
+
+
+def by_leading_words(text: np.ndarray, starts: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of the starts, cut between different leading words into parts of about ``most``."""
+    if len(starts) <= most:
+        return [np.arange(len(starts))]
+    lead = leading_words(text, starts)
+    order = np.argsort(lead, kind="stable")
+    lead = lead[order]
+    cuts = np.unique(np.searchsorted(lead, lead[np.arange(most, len(lead), most)]))
+    return [part for part in np.split(order, cuts) if len(part)]
+
+
+def repeated_prefixes(data: np.ndarray, starts: np.ndarray, depth: int, most: int = 400_000) -> np.ndarray:
     """For each start, whether the ``depth`` bytes from it also stand at another one.
 
     Suffixes at places that are 1 or 2 modulo 3 are the sample. Their triples,
@@ -41,52 +58,55 @@ def repeated_prefixes(data: np.ndarray, starts: np.ndarray, depth: int) -> np.nd
     Then two suffixes are compared at a shift that brings both onto the sample:
     0 within it, 1 or 2 between the others and each of its halves; equal
     prefixes stand side by side. Spans of ``depth`` bytes must lie in ``data``.
+    More than ``most`` suffixes are dealt by their leading words and sorted part
+    by part.
     """
     if depth < 3 * WORD + 2:
         raise ValueError(f"depth must be at least {3 * WORD + 2}")
     flags = np.zeros(len(starts), bool)
-    if len(starts) < 2:
-        return flags
-    size = len(data)
     text = np.concatenate([data, np.zeros(depth + WORD, np.uint8)])
+    for part in by_leading_words(text, starts, most):
+        if len(part) > 1:
+            part.sort()
+            flags[part] = repeated_in_part(text, starts[part], depth)
+    return flags
+
+
+def repeated_in_part(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    base = int(starts.min())
+    text, starts = text[base - base % 3 : int(starts.max()) + depth + 3 * WORD], starts - (base - base % 3)
+    size = len(text)
     reach = (depth - 2) - (depth - 2) % 3
     widths = [3 * WORD]
     while widths[-1] < reach:
         widths.append(min(3 * widths[-1], reach))
     offsets = [(0, WORD, 2 * WORD)]
     for small, large in zip(widths, widths[1:], strict=False):
-        middle = min(small, large - small)
-        offsets.append((0, middle, large - small))
+        offsets.append((0, min(small, large - small), large - small))
     side = starts % 3
-    wanted = np.zeros(size + 3, bool)
+    wanted = np.zeros(size, bool)
     wanted[starts[side != 0]] = True
     wanted[starts[side != 2] + 1] = True
     wanted[starts[side != 1] + 2] = True
     needs = [wanted]
-    for shifts in offsets[:0:-1]:
+    for shifts in offsets[::-1]:
         below = needs[-1].copy()
         for s in shifts[1:]:
             below[s:] |= needs[-1][:-s]
         needs.append(below)
-    words = np.ndarray((size + depth,), dtype=">u8", buffer=text, strides=(1,)).astype(np.uint64)
-    at = np.flatnonzero(needs[-1])
-    whole = np.zeros(size + depth, bool)
-    for s in offsets[0]:
-        whole[at + s] = True
-    places = np.flatnonzero(whole)
-    name = np.zeros(size + depth, np.int64)
-    name[places] = ranked([words[places]])
-    for shifts, need in zip(offsets, reversed(needs), strict=True):
-        at = np.flatnonzero(need)
-        name_at = ranked([name[at + s] for s in shifts])
-        name = np.zeros(size + depth, np.int64)
-        name[at] = name_at
-
-    def tail(places: np.ndarray, after: int, count: int) -> list[np.ndarray]:
+    name = np.zeros(size, np.int32)
+    places = np.flatnonzero(needs.pop())
+    name[places] = ranked([leading_words(text, places)])
+    for shifts in offsets:
+        places = np.flatnonzero(needs.pop())
+        named = ranked([name[places + s] for s in shifts])
+        name[places] = named
+    flags, rest = np.zeros(len(starts), bool), depth - reach
+
+    def bytes_at(places: np.ndarray, after: int, count: int) -> list[np.ndarray]:
         return [text[places + after + k] for k in range(count)]
 
-    rest = depth - reach
     for of, shift in ((side != 0, 0), (side != 2, 1), (side != 1, 2)):
         own = starts[of]
-        flags[of] |= with_equal(ranked([*tail(own, 0, shift), name[own + shift], *tail(own, shift + reach, rest - shift)]))
+        flags[of] |= with_equal(ranked([*bytes_at(own, 0, shift), name[own + shift], *bytes_at(own, shift + reach, rest - shift)]))
     return flags
