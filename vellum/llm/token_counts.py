@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.bpe import MODEL, loaded
-from vellum.llm.common import map_rows, quoted, text_of
+from vellum.llm.common import cut, map_rows, quoted, text_of
 
 BLOCK = 4096
 
@@ -38,7 +38,7 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
     task needs the whole histogram; its rows are bounded by the longest
     document, not by their number.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    counts = cut(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     above = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t")).withColumns({"docs_above": F.coalesce(F.sum("d").over(above), F.lit(0)), "tokens_above": F.coalesce(F.sum("t").over(above), F.lit(0))})
     totals = counts.agg(F.sum("n_docs").alias("all_docs"), F.sum("tokens").alias("all_tokens"))
