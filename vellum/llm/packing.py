@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,17 +18,24 @@ from tokenizers import Tokenizer
 from vellum.llm.common import map_rows, quoted, text_of, to_arrow
 
 MODEL = "word_bpe_49k.json"
-CACHED_WORDS = 500_000
+CACHED_PARTS = 600_000
+# Letters, numbers and white space of Latin-1 in lower case, and the vocabulary's pre-tokens over them.
+LETTERS, NUMBERS, SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\x0b\x0c\r\x85\xa0"
+PRE_TOKEN = re.compile(f"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+WORD_END = "</w>"
 #: Documents that are packed together. A group leaves one open bin at most, which is nothing beside so many.
 GROUP_DOCS = 200_000
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
 class WordIds:
-    """Ids by the tokenizers library, remembered for each word.
+    """Ids by the tokenizers library, remembered for each pre-token.
 
-    The vocabulary drops white space before it merges, so the ids of a text are
-    those of its words one after the other.
+    The ids of a text are those of its pre-tokens one after the other. Each of
+    them ends in a token with the mark of a word's end; so new ones are encoded
+    together, and their ids are cut at these marks. A text with a special
+    token, or with characters beyond Latin-1, whose form may depend on others,
+    goes to the library as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -34,23 +43,37 @@ class WordIds:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        vocab = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(1 + max(vocab.values()), bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        known = self.known
         try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) >= CACHED_WORDS:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            for w, e in zip(some, self.model.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        return b"".join([known[w] for w in words])
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.whole(text)
+        if "<|" in text:
+            return self.whole(text)
+        parts = PRE_TOKEN.findall(text.lower())
+        found = list(map(self.known.get, parts))
+        if None in found:
+            if len(self.known) >= CACHED_PARTS:
+                self.known.clear()
+            self.learn(list(set(parts).difference(self.known)))
+            found = [self.known[p] for p in parts]
+        return b"".join(found)
+
+    def learn(self, new: list[str]) -> None:
+        ids = np.array(self.model.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) != len(new):
+            raise ValueError("pre-tokens and word ends do not agree")
+        packed = ids.tobytes()
+        self.known.update({p: packed[4 * a : 4 * b] for p, a, b in zip(new, [0, *cuts], cuts, strict=False)})
 
 
 LOADED: dict[str, WordIds] = {}
