@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.functions.text import STOP_WORDS, tokens
+from vellum.operators.joins import hinted, is_small
 
 # Opening quotes and what closes them.
 QUOTES = {'"': '"', "“": "”", "„": "”", "«": "»"}
@@ -60,21 +61,25 @@ def query_terms(queries: DataFrame, *, stop_words: list[str] = STOP_WORDS) -> Da
     return words.unionByName(phrases.filter(F.col("term") != "")).distinct()
 
 
-def term_matches(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+def term_matches(chunks: DataFrame, terms: DataFrame, *, small: bool | None = None) -> DataFrame:
     """Distinct ``(user_id, term, chunk_id, document_id)`` where the chunk holds the term.
 
     A chunk and a term meet by equality on one token, the phrase's first; only
     then are the adjacent tokens of a phrase compared. So nothing is crossed.
+    Terms of a checked number go to every task, and no text is shuffled.
     """
+    small = is_small(terms) if small is None else small
     wanted = terms.select("user_id", "term").distinct().withColumn("token", F.substring_index("term", " ", 1))
+    columns = ["user_id", "term", "chunk_id", "document_id"]
     held = chunks.select("user_id", "chunk_id", "document_id", tokens(F.col("text")).alias("tokens"))
-    postings = held.select("user_id", "chunk_id", "document_id", F.explode(F.array_distinct("tokens")).alias("token"), "tokens")
-    has_phrase = F.contains(F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("term"), F.lit(" ")))
-    words = wanted.filter(F.col("term") == F.col("token"))
+    single = held.select("user_id", "chunk_id", "document_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    out = single.join(hinted(wanted.filter(F.col("term") == F.col("token")), small), ["user_id", "token"]).select(*columns)
     phrases = wanted.filter(F.col("term") != F.col("token"))
-    return (
-        postings.drop("tokens").join(words, ["user_id", "token"]).select("user_id", "term", "chunk_id", "document_id").unionByName(postings.join(phrases, ["user_id", "token"]).filter(has_phrase).select("user_id", "term", "chunk_id", "document_id"))
-    )
+    if phrases.isEmpty():
+        return out
+    has_phrase = F.contains(F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("term"), F.lit(" ")))
+    starts = held.select("user_id", "chunk_id", "document_id", "tokens", F.explode(F.array_distinct("tokens")).alias("token"))
+    return out.unionByName(starts.join(hinted(phrases, small), ["user_id", "token"]).filter(has_phrase).select(*columns))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -87,20 +92,28 @@ def corpus_size(documents: DataFrame) -> DataFrame:
     return searchable(documents).groupBy("user_id").agg(F.coalesce(F.sum("chunk_count"), F.lit(0)).cast("double").alias("n"))
 
 
-def term_weights(matches: DataFrame, documents: DataFrame) -> DataFrame:
-    """A2, A3: ``(user_id, term, df, idf)`` over searchable documents; terms in none are left out."""
-    ready = searchable(documents).select("user_id", "document_id")
-    df = matches.join(ready, ["user_id", "document_id"], "left_semi").groupBy("user_id", "term").agg(F.count("chunk_id").cast("double").alias("df"))
+def with_readiness(matches: DataFrame, documents: DataFrame) -> DataFrame:
+    """Matches with a flag for searchable documents. It is an outer join, as a semi join would be pushed below the tokens and shuffle them."""
+    ready = searchable(documents).select("user_id", "document_id", F.lit(True).alias("is_ready"))
+    return matches.join(ready, ["user_id", "document_id"], "left")
+
+
+def term_weights(flagged: DataFrame, documents: DataFrame) -> DataFrame:
+    """A2, A3: ``(user_id, term, df, idf)`` of all terms that occur; ``df`` counts searchable documents' chunks only.
+
+    It reads the same columns as the scores do, so that Spark reuses one
+    exchange of the matches for both.
+    """
+    df = flagged.groupBy("user_id", "term").agg(F.count_if(F.col("is_ready") & F.col("chunk_id").isNotNull()).cast("double").alias("df"))
     return df.join(corpus_size(documents), "user_id").withColumn("idf", idf(F.col("n"), F.col("df"))).select("user_id", "term", "df", "idf")
 
 
-def chosen_terms(terms: DataFrame, matches: DataFrame, weights: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
-    """Of the terms that occur, phrases and long ones first up to three times the limit; then the rarest."""
-    present = terms.join(matches.select("user_id", "term").distinct(), ["user_id", "term"], "left_semi")
+def chosen_terms(terms: DataFrame, weights: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
+    """Of the terms that occur, phrases and long ones first up to three times the limit; then the rarest searchable ones."""
     scan = Window.partitionBy("query_id").orderBy(F.col("priority").desc(), F.length("term").desc(), "term")
     rare = Window.partitionBy("query_id").orderBy(F.col("idf").desc(), "term", F.col("priority").desc())
-    scanned = present.withColumn("place", F.row_number().over(scan)).filter(F.col("place") <= 3 * max_terms)
-    return scanned.join(weights, ["user_id", "term"]).withColumn("place", F.row_number().over(rare)).filter(F.col("place") <= max_terms).select("query_id", "user_id", "term", "priority", "df", "idf")
+    scanned = terms.join(weights, ["user_id", "term"]).withColumn("place", F.row_number().over(scan)).filter(F.col("place") <= 3 * max_terms)
+    return scanned.filter(F.col("df") > 0).withColumn("place", F.row_number().over(rare)).filter(F.col("place") <= max_terms).select("query_id", "user_id", "term", "priority", "df", "idf")
 
 
 def lexical_search(chunks: DataFrame, documents: DataFrame, queries: DataFrame, *, limit: int = CANDIDATES, max_terms: int = MAX_TERMS, stop_words: list[str] = STOP_WORDS, scope: DataFrame | None = None) -> DataFrame:
@@ -110,12 +123,12 @@ def lexical_search(chunks: DataFrame, documents: DataFrame, queries: DataFrame,
     result to its ``query_id, document_id`` pairs; frequencies ignore it.
     """
     terms = query_terms(queries, stop_words=stop_words)
-    matches = term_matches(chunks, terms)
-    weights = chosen_terms(terms, matches, term_weights(matches, documents), max_terms)
-    ready = searchable(documents).select("user_id", "document_id")
-    hits = matches.join(weights.select("query_id", "user_id", "term", "idf"), ["user_id", "term"]).join(ready, ["user_id", "document_id"], "left_semi")
+    small = is_small(terms)
+    flagged = with_readiness(term_matches(chunks, terms, small=small), documents)
+    weights = chosen_terms(terms, term_weights(flagged, documents), max_terms).select("query_id", "user_id", "term", "idf")
+    hits = flagged.join(hinted(weights, small), ["user_id", "term"])
     if scope is not None:
         hits = hits.join(scope.select("query_id", "document_id"), ["query_id", "document_id"], "left_semi")
-    scores = hits.groupBy("query_id", "chunk_id", "document_id").agg(F.sum("idf").alias("score"))
+    scores = hits.groupBy("query_id", "chunk_id", "document_id").agg(F.sum(F.when(F.col("is_ready"), F.col("idf"))).alias("score")).filter("score is not null")
     best = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "chunk_id")
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)

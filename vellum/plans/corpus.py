@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.operators.dense import embed
+from vellum.sources.tables import read_table
 
 DIMENSION = 384
 TENANT = "all"
 
 
+#: Tables whose rows take work to process, and that are spread over the cores if small.
+TEXTS = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_table(spark, path) if name in TEXTS else spark.read.parquet(path)
 
 
 def lines(text) -> F.Column:
     """Trimmed lines of a text, blank ones included so that places stay."""
-    return F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\n\x0b\f\r")))
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from vellum.functions.statistics import rate, wilson
 from vellum.operators import evaluation as e
 from vellum.operators.fusion import reciprocal_rank_fusion
 from vellum.operators.lexical import query_terms, term_matches
+from vellum.operators.staging import staged
 from vellum.plans import corpus as c
 from vellum.plans.queries_retrieval import HYBRID, document_search, rrf_sql
 
@@ -27,15 +28,15 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Relevant and neutral keys: what holds the item; toxic documents among it are neutral."""
-    held = containment(spark, sf_dir)
+    held = staged(containment(spark, sf_dir))
     return held.join(toxic(spark, sf_dir), "key", "left_anti"), held.join(toxic(spark, sf_dir), "key", "left_semi")
 
 
 def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings of three arms over whole documents: dense, sparse and fused."""
-    found = document_search(spark, sf_dir)
+    found = staged(document_search(spark, sf_dir))
     fused = reciprocal_rank_fusion(found, limit=50).select(F.lit("hybrid").alias("arm"), "query_id", F.col("chunk_id").alias("key"), "rank")
-    return found.select(F.col("retriever").alias("arm"), "query_id", F.col("chunk_id").alias("key"), "rank").unionByName(fused)
+    return staged(found.select(F.col("retriever").alias("arm"), "query_id", F.col("chunk_id").alias("key"), "rank").unionByName(fused))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions.text import STOP_WORDS
 from vellum.operators.dense import at_least, nearest
 from vellum.operators.fusion import overlap, reciprocal_rank_fusion, sweep
-from vellum.operators.lexical import lexical_search, query_terms, searchable, term_matches, term_weights
+from vellum.operators.lexical import lexical_search, query_terms, searchable, term_matches, term_weights, with_readiness
 from vellum.operators.rerank import rerank, rerank_head
 from vellum.plans import corpus as c
 from vellum.plans.search import diagnostics, eligible_vectors, hybrid_search, reranked_search
@@ -41,8 +41,9 @@ def lexical_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = term_matches(c.passages(spark, sf_dir), query_terms(c.benchmark_queries(spark, sf_dir)))
-    return rounded(term_weights(matches, c.catalogue(spark, sf_dir)), "idf").select("term", F.col("df").cast("long").alias("df"), "idf")
+    docs = c.catalogue(spark, sf_dir)
+    flagged = with_readiness(term_matches(c.passages(spark, sf_dir), query_terms(c.benchmark_queries(spark, sf_dir))), docs)
+    return rounded(term_weights(flagged, docs), "idf").filter("df > 0").select("term", F.col("df").cast("long").alias("df"), "idf")
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
