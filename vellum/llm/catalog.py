@@ -16,12 +16,17 @@ from vellum.llm.secrets import secret_scan
 from vellum.llm.simhash import near_duplicates
 from vellum.llm.token_counts import token_counts
 from vellum.llm.word_windows import substring_dedup
+from vellum.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def over_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return lambda spark, sf_dir: operator(read_table(spark, f"{sf_dir}/documents.parquet"))
+
+
+def native_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES: dict[str, Query] = {
@@ -32,7 +37,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_counts": over_documents(token_counts),
     "op6_bpe": over_documents(bpe_digests),
     "op7_packing": over_documents(pack_documents),
-    "op8_exact_dedup": over_documents(exact_dedup),
+    "op8_exact_dedup": native_exact_dedup,
     "op9_language_id": over_documents(language_id),
     "op10_simhash": over_documents(near_duplicates),
 }
