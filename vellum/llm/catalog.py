@@ -11,7 +11,7 @@ from vellum.llm.byte_windows import suffix_dedup
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.language import language_id
 from vellum.llm.packing import pack_documents
-from vellum.llm.quality import quality_rules
+from vellum.llm.quality import COMMON_WORDS, quality_rules
 from vellum.llm.secrets import secret_scan
 from vellum.llm.simhash import near_duplicates
 from vellum.llm.token_counts import token_counts
@@ -42,7 +42,62 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": over_documents(near_duplicates),
 }
 
+VOCABULARY = ", ".join(f"('{lang}', '{word}')" for lang, words in COMMON_WORDS.items() for word in words.split())
+# Character classes as in the operator.
+CLASS_SQL = [r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?''\"()\-]", r"[#$%&*+/<=>@\[\\\]^_`{|}~]", r"[\x00-\x08\x0E-\x1F\x7F]", r"[^\x00-\x7F]"]
+CLASS_COUNTS = ", ".join(f"length(t) - length(regexp_replace(t, '{pattern}+', '', 'g'))" for pattern in CLASS_SQL)
+
+
+def distance_sql(doc: str, reference: str) -> str:
+    """Jensen-Shannon distance of two grouped columns of counts."""
+    p, q = f"({doc} / doc_sum)", f"({reference} / ref_sum)"
+    m = f"(({p} + {q}) / 2)"
+    terms = f"sum(CASE WHEN {doc} > 0 THEN {p} * log2({p} / {m}) ELSE 0 END + CASE WHEN {reference} > 0 THEN {q} * log2({q} / {m}) ELSE 0 END)"
+    return f"CASE WHEN any_value(doc_sum) > 0 THEN sqrt(greatest(0, {terms} / 2)) ELSE 1.0 END"
+
+
+QUALITY_SQL = rf"""
+    WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+    split AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+    words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos, len(w) AS n FROM split),
+    windows AS (SELECT doc_id, pos, CASE WHEN pos + 4 <= n THEN list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) END AS win FROM words),
+    counted AS (SELECT doc_id, pos, CASE WHEN win IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, win) > 1 THEN pos END AS start FROM windows),
+    marked AS (SELECT doc_id, coalesce(max(start) OVER (PARTITION BY doc_id ORDER BY pos) >= pos - 4, false) AS again FROM counted),
+    repeats AS (SELECT doc_id, count(*) FILTER (WHERE again) AS n FROM marked GROUP BY doc_id),
+    base AS (
+        SELECT s.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+               len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM split s LEFT JOIN repeats r USING (doc_id)
+    ),
+    vocabulary(ref, word) AS (VALUES {VOCABULARY}),
+    chars AS (SELECT doc_id, lang, unnest([{CLASS_COUNTS}])::DOUBLE AS c, unnest(range(8)) AS k FROM docs),
+    char_refs AS (SELECT lang AS ref, k, sum(c) AS r, sum(sum(c)) OVER (PARTITION BY lang) AS ref_sum FROM chars WHERE lang IN (SELECT ref FROM vocabulary) GROUP BY lang, k),
+    char_rows AS (SELECT doc_id, ref, c, r, ref_sum, sum(c) OVER (PARTITION BY doc_id, ref) AS doc_sum FROM chars JOIN char_refs USING (k)),
+    by_char AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, ref, {distance_sql('c', 'r')} AS d FROM char_rows GROUP BY doc_id, ref) GROUP BY doc_id),
+    lowered AS (SELECT doc_id, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word, count(*) AS c FROM words GROUP BY ALL),
+    known AS (SELECT d.doc_id, d.lang, v.ref, v.word, coalesce(l.c, 0)::DOUBLE AS c FROM docs d CROSS JOIN vocabulary v LEFT JOIN lowered l ON l.doc_id = d.doc_id AND l.word = v.word),
+    others AS (SELECT k.doc_id, any_value(k.lang) AS lang, k.ref, '' AS word, any_value(b.n_words) - sum(k.c) AS c FROM known k JOIN base b USING (doc_id) GROUP BY k.doc_id, k.ref),
+    grid AS (SELECT * FROM known UNION ALL SELECT * FROM others),
+    word_refs AS (SELECT ref, word, sum(c) AS r, sum(sum(c)) OVER (PARTITION BY ref) AS ref_sum FROM grid WHERE lang = ref GROUP BY ref, word),
+    word_rows AS (SELECT doc_id, ref, c, r, ref_sum, sum(c) OVER (PARTITION BY doc_id, ref) AS doc_sum FROM grid JOIN word_refs USING (ref, word)),
+    by_word AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, ref, {distance_sql('c', 'r')} AS d FROM word_rows GROUP BY doc_id, ref) GROUP BY doc_id),
+    judged AS (SELECT b.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, c.d AS cd, w.d AS wd FROM base b JOIN by_char c USING (doc_id) JOIN by_word w USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND NOT (word_chars >= 200 AND cd > 0.30) AND NOT (n_words >= 60 AND wd > 0.33) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM judged
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": QUALITY_SQL,
+    "op4_substring_dedup": r"""
+        WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos, len(w) AS n FROM split),
+        windows AS (
+            SELECT doc_id, pos, word, n, CASE WHEN pos + 34 <= n THEN list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) END AS win FROM words
+        ),
+        counted AS (SELECT doc_id, pos, word, CASE WHEN win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 THEN pos END AS start FROM windows),
+        marked AS (SELECT doc_id, pos, word, coalesce(max(start) OVER (PARTITION BY doc_id ORDER BY pos) >= pos - 34, false) AS gone FROM counted),
+        done AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY doc_id)
+        SELECT s.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM split s LEFT JOIN done USING (doc_id)
+    """,
     "op8_exact_dedup": """
         WITH rows AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents

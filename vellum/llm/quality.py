@@ -142,7 +142,7 @@ def quality_rules(
             by_char = min((jensen_shannon(chars, ref) for ref, _ in known.values()), default=0.0)
             by_word = min((jensen_shannon(word_histogram(counts, vocabulary[lang]), ref) for lang, (_, ref) in known.items()), default=0.0)
             far = (word_chars >= min_chars and by_char > max_char_distance) or (n_words >= min_words and by_word > max_word_distance)
-            yield doc_id, n_words, word_chars, n_symbols, len(lines) - len(set(lines)), repeats, failed, not failed and not far, by_char, by_word
+            yield doc_id, n_words, word_chars, n_symbols, len(lines) - len(set(lines)), repeats, failed, not failed and not far, round(by_char, 6), round(by_word, 6)
 
         return one
 
