@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import search_term
+from vellum.functions.text import search_pattern
 
 MOST_VERSIONS, QUOTA_BYTES = 20, 1 << 30
 # Allowed changes of a document's status.
@@ -46,7 +46,7 @@ def listing(documents: DataFrame, *, status: str | None = None, file_type: str |
     if file_type:
         out = out.filter(F.col("file_type") == file_type)
     if name_like:
-        out = out.filter(F.expr("filename ilike _term escape '\\\\'")) if "_term" in out.columns else out.withColumn("_term", search_term(F.lit(name_like))).filter(F.expr("filename ilike _term escape '\\\\'")).drop("_term")
+        out = out.filter(F.col("filename").ilike(search_pattern(name_like)))
     if collection is not None:
         out = out.join(collection.select("document_id"), "document_id", "left_semi")
     return out

@@ -52,3 +52,17 @@ def rerank_head(candidates: DataFrame, *, head: int, scorer: str = "overlap", to
     tail = candidates.filter(F.col("retrieval_rank") > head).select("query_id", key, F.col("retrieval_rank").alias("rank"), F.lit(None).cast("double").alias("score"), "retrieval_rank", (F.length("text") > LONG_PASSAGE).alias("truncated"))
     out = first.unionByName(tail)
     return out if top_k is None else out.filter(F.col("rank") <= top_k)
+
+
+def rerank_arms(candidates: DataFrame, depths: list[int], *, scorer: str = "overlap", key: str = "chunk_id") -> DataFrame:
+    """``arm, query_id, <key>, rank`` of reranking the first n candidates, for every depth n.
+
+    Each pair of query and passage is scored once, whatever the number of
+    depths; the candidates behind the depth keep their order.
+    """
+    scored = candidates.select("query_id", key, "retrieval_rank", SCORERS[scorer](F.col("query"), F.col("text")).alias("score"))
+    depth = F.explode(F.array(*[F.lit(n) for n in depths]))
+    head = F.col("retrieval_rank") <= F.col("depth")
+    order = Window.partitionBy("depth", "query_id").orderBy((~head).cast("int"), F.when(head, -F.col("score")).otherwise(0.0), "retrieval_rank")
+    ranked = scored.withColumn("depth", depth).withColumn("rank", F.row_number().over(order))
+    return ranked.select(F.concat(F.lit("hybrid+rerank@"), "depth").alias("arm"), "query_id", key, "rank")

@@ -9,9 +9,10 @@ from vellum.functions.statistics import rate, wilson
 from vellum.operators import evaluation as e
 from vellum.operators.fusion import reciprocal_rank_fusion
 from vellum.operators.lexical import query_terms, term_matches
+from vellum.operators.rerank import rerank_arms
 from vellum.operators.staging import staged
 from vellum.plans import corpus as c
-from vellum.plans.queries_retrieval import HYBRID, document_search, rrf_sql
+from vellum.plans.queries_retrieval import HYBRID, WORDS, document_search, rrf_sql
 
 
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +113,20 @@ def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.run_compare(run_table(spark, sf_dir, "sparse"), run_table(spark, sf_dir, "dense"))
 
 
+def retrieval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three arms, and the fused one reranked at several depths, over the same queries."""
+    plain = arms(spark, sf_dir)
+    texts = c.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    pool = plain.filter(F.col("arm") == "hybrid").join(texts, "key").join(c.benchmark_queries(spark, sf_dir).select("query_id", "query"), "query_id").withColumnRenamed("rank", "retrieval_rank")
+    relevant, neutral = judged(spark, sf_dir)
+    rows = e.per_query(plain.unionByName(rerank_arms(pool, DEPTHS, key="key")), relevant, neutral)
+    return e.arm_summary(rows).select("arm", "questions", *e.METRICS, "top1_hits")
+
+
+DEPTHS = [10, 20, 50]
+
 QUERIES = {
+    "retrieval_matrix": retrieval_matrix,
     "recall_mrr_ndcg": recall_mrr_ndcg,
     "arm_summary": arm_summary,
     "candidate_recall": candidate_recall,
@@ -127,13 +141,16 @@ QUERIES = {
     "run_compare": run_compare,
 }
 
-ARMS = f"""{HYBRID},
+def arms_sql(more: str = "") -> str:
+    """Tables up to ``per_query`` and ``top1``; ``more`` is a union of further arms over ``hybrid``."""
+    return f"""{HYBRID},
+hybrid AS ({rrf_sql('60', '1.0', '1.0', 50)}),
 held AS (SELECT item_id AS query_id, doc_id AS key, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS is_neutral FROM documents d, benchmark b
          WHERE contains(' ' || array_to_string({c.TOKENS_SQL.format('d.text')}, ' ') || ' ', ' ' || array_to_string({c.TOKENS_SQL.format('b.text')}, ' ') || ' ')),
 relevant AS (SELECT query_id, key FROM held WHERE NOT is_neutral),
 found AS (
     SELECT 'dense' AS arm, query_id, chunk_id AS key, rank FROM dense UNION ALL SELECT 'sparse', query_id, chunk_id, rank FROM sparse
-    UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM ({rrf_sql('60', '1.0', '1.0', 50)})
+    UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM hybrid{more}
 ),
 kept AS (SELECT arm, query_id, key, row_number() OVER (PARTITION BY arm, query_id ORDER BY rank) AS rank FROM found WHERE (query_id, key) NOT IN (SELECT query_id, key FROM held WHERE is_neutral)),
 hits AS (SELECT k.* FROM kept k JOIN relevant USING (query_id, key)),
@@ -148,6 +165,11 @@ per_query AS (
     FROM grid g LEFT JOIN hits h ON h.arm = g.arm AND h.query_id = g.query_id GROUP BY g.arm, g.query_id
 ),
 top1 AS (SELECT g.arm, g.query_id, h.key IS NOT NULL AS hit FROM grid g LEFT JOIN hits h ON h.arm = g.arm AND h.query_id = g.query_id AND h.rank = 1)"""
+
+
+ARMS = arms_sql()
+SCORED = f"(SELECT h.query_id, h.chunk_id, h.rank, len(list_intersect({WORDS.format('b.text')}, {WORDS.format('d.text')})) AS score FROM hybrid h JOIN documents d ON d.doc_id = h.chunk_id JOIN benchmark b ON b.item_id = h.query_id)"
+RERANKED = "".join(f" UNION ALL SELECT 'hybrid+rerank@{n}', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank > {n}, CASE WHEN rank <= {n} THEN -score ELSE 0 END, rank) FROM {SCORED}" for n in DEPTHS)
 MEANS = ", ".join(f"round(avg({m}), 4) AS {m}" for m in e.METRICS)
 
 
@@ -162,6 +184,7 @@ HITS = "count(*) FILTER (WHERE recall_at_1 > 0)"
 UNPIVOTED = " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m}) FILTER (WHERE arm = 'sparse'), 4) AS before, round(avg({m}) FILTER (WHERE arm = 'dense'), 4) AS after FROM per_query" for m in e.METRICS)
 
 ORACLE_SQL = {
+    "retrieval_matrix": f"{arms_sql(RERANKED)} SELECT arm, count(*) AS questions, {MEANS}, {HITS} AS top1_hits FROM per_query GROUP BY arm",
     "recall_mrr_ndcg": f"{ARMS} SELECT arm, query_id, {', '.join(f'round({m}, 6) AS {m}' for m in e.METRICS)} FROM per_query",
     "arm_summary": f"""{ARMS}, sets AS (SELECT *, NULL AS category FROM per_query UNION ALL SELECT *, 'c' || (query_id % 3) FROM per_query)
         SELECT arm, category, count(*) AS questions, {MEANS}, {HITS} AS top1_hits, {wilson_sql(HITS, 'count(*)', 'low')} AS low, {wilson_sql(HITS, 'count(*)', 'high')} AS high FROM sets GROUP BY arm, category""",
