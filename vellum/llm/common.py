@@ -48,6 +48,8 @@ def map_rows(df: DataFrame, columns: list[Column], schema: str, start: Callable[
                     out = []
             if out:
                 yield to_batch(out, out_schema)
+            del batch, out
+            pa.default_memory_pool().release_unused()  # a worker lives on, and would keep it
 
     return chosen.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ LEAF_PAIRS = 256
 #: Fingerprints of one trie above which it is dealt out by its next bits.
 TRIE_SIZE = 2_000_000
 #: Pairs that are compared at once.
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 17
 #: Bits by which a trie above that size is dealt out.
 NEXT_BITS = 8
 TRIE = ("block", "prefix", "node")
