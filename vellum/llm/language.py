@@ -14,6 +14,7 @@ from vellum.llm.common import map_rows, quoted, text_of
 
 WIDTH = 4096
 FIT_ROWS = 2000
+PARTS = 64
 LETTER = regex.compile(r"\p{L}")
 #: Letters below which a text is never rejected for its distance.
 SURE_LETTERS = 20
@@ -91,11 +92,10 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fi
     """At most ``fit_rows`` labelled rows, dealt evenly over the languages in the order of a hash of their ids."""
     i, lang, text = (F.col(quoted(c)) for c in (id_col, lang_col, text_col))
     known = docs.filter(lang.isNotNull() & text.isNotNull() & ~is_held_out(i)).select(i.alias("id"), lang.alias("lang"), text.alias("text"))
-    order = [F.xxhash64("id", F.lit("fit")), F.col("id")]
-    # First within parts of a language, so that a common one is not ranked in one task.
-    parts = known.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
-    first = parts.withColumn("turn", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("turn") <= fit_rows)
-    chosen = first.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("turn") <= fit_rows).orderBy("turn", "lang", "id").limit(fit_rows)
+    # Parts of a language are ranked apart and dealt in turn, so that a common one is not ranked in one task.
+    parts = known.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part"))
+    own = F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.xxhash64("id", F.lit("fit")), "id"))
+    chosen = parts.withColumn("turn", own).filter(F.col("turn") <= fit_rows).orderBy("turn", "part", "lang", "id").limit(fit_rows)
     return known.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"]).select("lang", "text")
 
 
