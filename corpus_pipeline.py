@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import cut
 from vellum.llm.exact_dedup import exact_dedup
-from vellum.llm.language import language_id
+from vellum.llm.language import fit, keep_identified
 from vellum.llm.packing import pack_documents
 from vellum.llm.secrets import redact
 from vellum.llm.simhash import near_duplicates
@@ -18,8 +18,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose language is rejected; the others' ``lang`` becomes the predicted one."""
-    found = language_id(docs).filter(~F.col("rejected")).select("doc_id", "lang_pred")
-    return docs.join(found, "doc_id").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return keep_identified(docs, fit(docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets are masked and ``n_chars`` follows the new text."""
-    masked = redact(docs).withColumnRenamed("text", "masked")
-    return docs.drop("text").join(masked, "doc_id").withColumns({"text": F.col("masked"), "n_chars": F.length("masked").cast("bigint")}).select(*docs.columns)
+    return redact(docs, length_col="n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,22 @@ def map_rows(df: DataFrame, columns: list[Column], schema: str, start: Callable[
     return chosen.mapInArrow(run, schema)
 
 
+def map_whole(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+    """Change or drop whole rows in Arrow batches, all columns kept; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = start()
+        for batch in batches:
+            yield one(batch)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def with_columns(batch: pa.RecordBatch, columns: dict[str, list]) -> pa.RecordBatch:
+    """The batch with the named columns replaced, in their own types."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else batch.column(k) for k, f in enumerate(batch.schema)], schema=batch.schema)
+
+
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import map_rows, quoted, text_of
+from vellum.llm.common import map_rows, map_whole, quoted, text_of, with_columns
 
 WIDTH = 4096
 FIT_ROWS = 2000
@@ -77,6 +78,13 @@ class Centroids:
     def rejects(self, text: str, best: int, score: float) -> bool:
         return bool(score < self.floor[best]) and sum(map(str.isalpha, text)) >= SURE_LETTERS
 
+    def verdict(self, text: str) -> tuple[str, float, bool]:
+        """Language, cosine and whether the text is rejected."""
+        if not self.languages or not LETTER.search(text):
+            return UNDETERMINED, 0.0, True
+        best, score = self.nearest(text)
+        return self.languages[self.owner[best]], score, self.rejects(text, best, score)
+
     def nearest(self, text: str) -> tuple[int, float]:
         scores = self.vectors @ weighted(gram_counts(text, len(self.idf)), self.idf)
         best = int(np.argmax(scores))
@@ -143,11 +151,7 @@ def identify(docs: DataFrame, model: Centroids, *, id_col: str = "doc_id", text_
 
     def start():
         def one(doc_id: int | None, held_out: bool, text: str) -> Iterator[tuple]:
-            if not model.languages or not LETTER.search(text):
-                yield doc_id, held_out, UNDETERMINED, 0.0, True
-                return
-            best, score = model.nearest(text)
-            yield doc_id, held_out, model.languages[model.owner[best]], score, model.rejects(text, best, score)
+            yield doc_id, held_out, *model.verdict(text)
 
         return one
 
@@ -158,3 +162,16 @@ def identify(docs: DataFrame, model: Centroids, *, id_col: str = "doc_id", text_
 def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, k: int = 4, slack: float = 0.5) -> DataFrame:
     """Fit on the labelled rows that are not held out, then identify every row."""
     return identify(docs, fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, fit_rows=fit_rows, k=k, slack=slack), id_col=id_col, text_col=text_col)
+
+
+def keep_identified(docs: DataFrame, model: Centroids, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose language is not rejected, the language column set to the predicted one; no row is shuffled."""
+
+    def start():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [model.verdict(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text_col))]
+            return with_columns(batch, {lang_col: [lang for lang, _, _ in found]}).filter(pa.array([not rejected for _, _, rejected in found], pa.bool_()))
+
+        return one
+
+    return map_whole(docs, start)

@@ -6,11 +6,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import map_rows, quoted, text_of
+from vellum.llm.common import map_rows, map_whole, quoted, text_of, with_columns
 
 # The base patterns, and the order of kinds at one start.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -126,18 +127,27 @@ def masked(text: str, spans: list[tuple[int, int, str]], mask: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]", reach: int = REACH, min_bits: float = MIN_BITS) -> DataFrame:
-    """Id and text with every found secret masked; null text stays null."""
+def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, mask: str = "[secret]", reach: int = REACH, min_bits: float = MIN_BITS) -> DataFrame:
+    """The same rows and columns with every found secret masked.
+
+    Null text stays null. ``length_col`` names a column that is to hold the new
+    text's length in characters.
+    """
 
     def start():
         scan = scanner(reach, min_bits)
 
-        def one(doc_id: int | None, text: str | None) -> Iterator[tuple]:
-            if text is not None:
-                base, novel = scan(text)
-                text = masked(text, base + novel, mask) if base or novel else text
-            yield doc_id, text
+        def clean(text: str | None) -> str | None:
+            if text is None:
+                return None
+            base, novel = scan(text)
+            return masked(text, base + novel, mask) if base or novel else text
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = [clean(t.as_py()) for t in batch.column(batch.schema.get_field_index(text_col))]
+            lengths = {length_col: [None if t is None else len(t) for t in texts]} if length_col else {}
+            return with_columns(batch, {text_col: texts} | lengths)
 
         return one
 
-    return map_rows(docs, [F.col(quoted(id_col)).cast("bigint"), F.col(quoted(text_col))], "doc_id bigint, text string", start)
+    return map_whole(docs, start)
