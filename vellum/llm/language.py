@@ -107,7 +107,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fi
     return known.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"]).select("lang", "text")
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, k: int = 4, slack: float = 0.5) -> Centroids:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, k: int = 4, slack: float = 0.4) -> Centroids:
     """Learn centroids from at most ``fit_rows`` rows (2000 by default), whatever the size of the table.
 
     A row of at least ``SURE_LETTERS`` letters is rejected later if its cosine
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: Centroids, *, id_col: str = "doc_id", text_
     return map_rows(docs, [i.cast("bigint"), is_held_out(i), text_of(quoted(text_col))], "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean", start)
 
 
-def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, k: int = 4, slack: float = 0.5) -> DataFrame:
+def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, k: int = 4, slack: float = 0.4) -> DataFrame:
     """Fit on the labelled rows that are not held out, then identify every row."""
     return identify(docs, fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, fit_rows=fit_rows, k=k, slack=slack), id_col=id_col, text_col=text_col)
 
