@@ -162,6 +162,7 @@ def sorted_buckets(keys: DataFrame, length: int) -> DataFrame:
         known.clear()
         of = sorted_segments(values, counts, grams, again, length)
         bits = [np.packbits(np.concatenate([of[k] for k in own])).tobytes() for own in rows]
+        pa.default_memory_pool().release_unused()  # a worker lives on, and would keep it
         return pa.Table.from_arrays([table["chunk"], table["bucket"], pa.array(bits, pa.binary())], schema=schema)
 
     return keys.groupBy("bucket").applyInArrow(one, BITS)
@@ -181,7 +182,9 @@ def sorted_segments(values: list[bytes], counts: list[int], grams: list[int], ag
         count = np.array([counts[k] for k in own])
         ends = np.cumsum(count)
         begin = np.concatenate([[0], np.cumsum(count + length - 1)[:-1]])
-        starts = np.repeat(begin - (ends - count), count) + np.arange(ends[-1])
+        kind = np.int32 if size < 2**31 else np.int64
+        starts = np.arange(ends[-1], dtype=kind)
+        starts += np.repeat((begin - (ends - count)).astype(kind), count)
         flags = repeated_prefixes(np.frombuffer(b"".join([values[k] for k in own]), np.uint8), starts, length)
         for k, e in zip(own, ends.tolist(), strict=True):
             out[k] = flags[e - counts[k] : e] | again[k]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 WORD = 8
@@ -37,15 +39,29 @@ def leading_words(text: np.ndarray, places: np.ndarray) -> np.ndarray:
     return every[places].astype(np.uint64)
 
 
-def by_leading_words(text: np.ndarray, starts: np.ndarray, most: int) -> list[np.ndarray]:
-    """Places of the starts, cut between different leading words into parts of about ``most``."""
+def by_leading_words(text: np.ndarray, starts: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of the starts in parts of about ``most``, cut between different leading bytes.
+
+    Two bytes decide; only a part that they leave much too large is sorted by
+    its leading words. So the whole needs two bytes of memory for each start.
+    """
     if len(starts) <= most:
-        return [np.arange(len(starts))]
-    lead = leading_words(text, starts)
-    order = np.argsort(lead, kind="stable")
-    lead = lead[order]
-    cuts = np.unique(np.searchsorted(lead, lead[np.arange(most, len(lead), most)]))
-    return [part for part in np.split(order, cuts) if len(part)]
+        yield np.arange(len(starts))
+        return
+    lead = (text[starts].astype(np.uint16) << np.uint16(8)) | text[starts + 1]
+    below = np.concatenate([[0], np.cumsum(np.bincount(lead, minlength=1 << 16))])
+    key = 0
+    while key < 1 << 16:
+        end = max(key + 1, int(np.searchsorted(below, below[key] + most, side="right")) - 1)
+        part = np.flatnonzero((lead >= key) & (lead < end)) if below[end] > below[key] else np.zeros(0, np.int64)
+        if len(part) <= 2 * most:
+            yield part
+        else:
+            words = leading_words(text, starts[part])
+            part = part[np.argsort(words, kind="stable")]
+            words.sort()
+            yield from np.split(part, np.unique(np.searchsorted(words, words[np.arange(most, len(words), most)])))
+        key = end
 
 
 def repeated_prefixes(data: np.ndarray, starts: np.ndarray, depth: int, most: int = 400_000) -> np.ndarray:
