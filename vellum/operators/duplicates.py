@@ -1,13 +1,26 @@
-"""Near-duplicate test of given pairs of texts."""
+"""Near-duplicate test of given pairs of texts, and classes of a whole table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import match_text, tokens
+from vellum.operators.joins import hinted, is_small
+from vellum.operators.staging import staged
 
 CONTAINED_CHARS, SAME_SHARE = 40, 0.9
+#: Bytes of a gram; a window of ``CONTAINED_CHARS`` bytes is known by the least hash of its grams.
+GRAM = 16
+#: Windows of a text among which the rarest is sought in other texts.
+PROBES = 16
+KEYS_PER_BATCH = 100_000
+#: Words whose frequencies order the words of a text; the others count as rarer.
+COMMON_WORDS = 100_000
 
 
 def are_near(a: Column, b: Column) -> Column:
@@ -23,3 +36,134 @@ def near_duplicate_pairs(texts: DataFrame, pairs: DataFrame, *, id_col: str = "d
     own = texts.select(F.col(id_col).alias("id"), match_text(F.col(text_col)).alias("m"))
     both = pairs.join(own.select(F.col("id").alias("left_id"), F.col("m").alias("a")), "left_id").join(own.select(F.col("id").alias("right_id"), F.col("m").alias("b")), "right_id")
     return both.select("left_id", "right_id", are_near(F.col("a"), F.col("b")).alias("duplicate"))
+
+
+def window_keys(text: str) -> np.ndarray:
+    """Distinct least gram hashes of all windows of ``CONTAINED_CHARS`` bytes; those of a text are among those of any text around it."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    hashes = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    step = 1
+    while step < GRAM:
+        hashes = hashes[:-step] * np.uint64(0xBF58476D1CE4E5B9) + (hashes[step:] ^ (hashes[step:] >> np.uint64(29)))
+        step *= 2
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= np.uint64(0x94D049BB133111EB)
+    width, step = CONTAINED_CHARS - GRAM + 1, 1
+    while 2 * step <= width:
+        hashes = np.minimum(hashes[:-step], hashes[step:])
+        step *= 2
+    rest = width - step
+    least = np.minimum(hashes[: len(hashes) - rest], hashes[rest:])
+    return np.unique(least).view(np.int64)
+
+
+def with_windows(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """``n, chars, key`` of the windows of each text that is long enough; ``most`` keeps the least keys only."""
+    schema = pa.schema([("n", pa.int64()), ("chars", pa.int32()), ("key", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, held = [], 0
+            for n, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                keys = window_keys(text)[:most]
+                own.append((np.full(len(keys), n), np.full(len(keys), len(text), np.int32), keys))
+                held += len(keys)
+                if held >= KEYS_PER_BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*own, strict=True)], schema=schema)
+                    own, held = [], 0
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*own, strict=True)], schema=schema)
+
+    return nodes.filter(F.length("m") >= CONTAINED_CHARS).select("n", "m").mapInArrow(run, "n bigint, chars int, key bigint")
+
+
+def contained_candidates(nodes: DataFrame) -> DataFrame:
+    """``a, b``: all pairs in which ``a`` may lie inside ``b``. A text is sought by the rarest of some of its windows, and only if none of them is its own alone."""
+    windows = with_windows(nodes)
+    counts = windows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
+    probes = with_windows(nodes, PROBES).join(counts, "key", "left")
+    rarest = probes.groupBy("n").agg(F.min_by("key", F.struct("df", "key")).alias("key"), F.max("chars").alias("size"), F.count(F.lit(1)).alias("sought"), F.count("df").alias("found"))
+    needles = staged(rarest.filter(F.col("sought") == F.col("found")).select(F.col("n").alias("a"), "key", "size"))
+    return windows.join(hinted(needles, is_small(needles)), "key").filter(F.col("chars") > F.col("size")).select("a", F.col("n").alias("b"))
+
+
+def word_candidates(sets: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of word sets that may share nine tenths; a prefix filter.
+
+    In any one order of words two such sets meet in their first tenths. The
+    rarest words come first, so that few others meet there.
+    """
+    common = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "word").limit(COMMON_WORDS)
+    known = sets.sparkSession.sparkContext.broadcast({r["word"]: r["df"] for r in common.collect()})
+    schema = pa.schema([("n", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("word", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = known.value
+        for batch in batches:
+            rows = []
+            for n, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = sorted(words.as_py(), key=lambda w: (df.get(w, 0), w))
+                rows += [(n, len(words), at, w) for at, w in enumerate(words[: len(words) - (9 * len(words) + 9) // 10 + 1])]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, schema, strict=True)], schema=schema)
+
+    # Sets of fewer than nine words are within nine tenths of equal sets only.
+    firsts = sets.filter(F.size("words") >= 9).select("n", "words").mapInArrow(run, "n bigint, size int, at int, word string")
+    left, right = (firsts.select(F.col("n").alias(x), F.col("size").alias(f"{x}_size"), F.col("at").alias(f"{x}_at"), "word") for x in "ab")
+    a, b = F.col("a_size"), F.col("b_size")
+    ahead = F.least(a - F.col("a_at"), b - F.col("b_at"))
+    # The most words in common if this is the first one.
+    meets = (10 * a >= 9 * b) & ((a < b) | ((a == b) & (F.col("a") < F.col("b")))) & (19 * ahead >= 9 * (a + b))
+    return left.join(right, "word").filter(meets).select("a", "b")
+
+
+def least_reachable(links: DataFrame) -> DataFrame:
+    """``n, root`` of every end of the links ``a, b``: the least one reachable, by rounds of star contraction."""
+    edges, before = staged(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
+    while True:
+        around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = around.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(low, "b").select("m", F.explode(F.array("a", "b")).alias("b")).filter(F.col("m") != F.col("b"))
+        edges = staged(small.select(F.col("m").alias("a"), "b").distinct())
+        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if state == before:
+            return edges.select(F.col("b").alias("n"), F.col("a").alias("root"))
+        before = state
+
+
+def without(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows whose ``n`` is not among the others, which are mostly few."""
+    return rows.join(hinted(others, is_small(others)), "n", "left_anti")
+
+
+def near_duplicate_classes(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, class_id, class_size`` of every row: classes joined by all near-duplicate pairs of the table.
+
+    No pair is lost: equal texts are one node, equal word sets are linked, and
+    the candidate searches for contained texts and shared words are complete;
+    ``are_near`` then decides. A class's id is the least id in it, null if it
+    has no other. A null text is near to nothing and a class of its own. The
+    cost grows with the candidate pairs, so with the square of a group of
+    unequal texts that all hold the same rare words or windows.
+    """
+    forms = texts.select(F.col(id_col).alias("doc_id"), match_text(F.col(text_col)).alias("m"))
+    rows = staged(forms.select(F.monotonically_increasing_id().alias("n"), "doc_id", F.unhex(F.sha2("m", 256)).alias("sha"), "m"))
+    keyed = rows.select("n", "doc_id", "sha").filter(F.col("sha").isNotNull())
+    of_sha = staged(keyed.select("n", "sha").join(keyed.groupBy("sha").agg(F.min("n").alias("node")), "sha").select("n", "node"))
+    nodes = without(rows.select("n", "m").filter(F.col("m").isNotNull()), of_sha.filter(F.col("n") != F.col("node")).select("n"))
+    worded = nodes.withColumn("words", F.array_distinct(tokens(F.col("m")))).filter(F.size("words") > 0)
+    members = staged(worded.select("n", F.unhex(F.sha2(F.array_join(F.array_sort("words"), " "), 256)).alias("set")))
+    same_words = staged(members.join(members.groupBy("set").agg(F.min("n").alias("a")), "set").filter(F.col("n") != F.col("a")).select("a", F.col("n").alias("b")))
+    sets = without(worded.select("n", "words"), same_words.select(F.col("b").alias("n")))
+    pairs = staged(contained_candidates(nodes).unionByName(word_candidates(sets)).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    asked = nodes.join(hinted(ends, is_small(ends)), "n", "left_semi")
+    left, right = (asked.select(F.col("n").alias(x), F.col("m").alias(f"{x}_text")) for x in "ab")
+    near = pairs.join(left, "a").join(right, "b").filter(are_near(F.col("a_text"), F.col("b_text"))).select("a", "b")
+    roots = least_reachable(same_words.unionByName(near))
+    held = keyed.select("n", "doc_id").join(of_sha, "n").join(roots.withColumnRenamed("n", "node"), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    classes = held.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    alone = rows.filter(F.col("sha").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
+    return held.join(classes, "root").select("doc_id", "class_id", "class_size").unionByName(alone)

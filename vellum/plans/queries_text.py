@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as t
 from vellum.operators.chunking import chunk_quality, chunk_texts
 from vellum.operators.context import pack_context
-from vellum.operators.duplicates import near_duplicate_pairs
+from vellum.operators.duplicates import near_duplicate_classes, near_duplicate_pairs
 from vellum.operators.grounding import extract_answers, label_sets
 from vellum.operators.segmentation import line_spans, sentence_spans, word_spans
 from vellum.plans import corpus as c
@@ -34,11 +34,16 @@ def content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against the next one."""
+    """Each document against the one of the next id only, as its SQL has it; ``near_duplicate_groups`` is the test over the whole table."""
     docs = documents(spark, sf_dir)
     return near_duplicate_pairs(docs, docs.select(F.col("doc_id").alias("left_id"), (F.col("doc_id") + 1).alias("right_id")))
 
 
+def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document under all near-duplicate pairs of the table."""
+    return near_duplicate_classes(documents(spark, sf_dir))
+
+
 def reader_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool(spark, sf_dir).filter(F.col("retrieval_rank") <= 3).select("query_id", F.concat(F.lit("S"), F.col("retrieval_rank")).alias("label"), F.col("retrieval_rank").alias("position"), "text")
 
@@ -90,6 +95,7 @@ QUERIES = {
     "sentence_spans": lambda spark, sf_dir: sentence_spans(documents(spark, sf_dir)),
     "word_spans": lambda spark, sf_dir: word_spans(documents(spark, sf_dir)),
     "near_duplicates": near_duplicates,
+    "near_duplicate_groups": near_duplicate_groups,
     "extractive_reader": extractive_reader,
     "context_pack": context_pack,
     "rag_answer": rag_answer,
