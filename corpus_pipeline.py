@@ -15,21 +15,45 @@ from vellum.llm.simhash import near_duplicates
 #: No stage but the second can be expressed in SQL.
 ORACLE_SQL = None
 
+#: A column that no table of documents has.
+ROW = "_row"
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose language is rejected; the others' ``lang`` becomes the predicted one."""
     return keep_identified(docs, fit(docs))
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """The rows with a key ``_row`` of their own, made once, so that a verdict finds its row whatever the ``doc_id``."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def kept_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return docs.join(rows, ROW, "left_semi").drop(ROW)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id stays."""
-    return docs.join(exact_dedup(docs).filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Of equal texts, the row with the largest id stays; a null id counts as less than any other.
+
+    A text that only rows with null ids hold thus stays once. Of rows that
+    share the largest id, one stays.
+    """
+    keyed = with_row_key(docs)
+    verdicts = exact_dedup(keyed.withColumn("_id", F.struct("doc_id", ROW)), id_col="_id")
+    return kept_rows(keyed, verdicts.filter("kept").select(f"doc_id.{ROW}"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near-duplicates, the document with the least id stays."""
-    stays = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+    """Of a group of near-duplicates, the row with the least id stays; a null id counts as greater than any other.
+
+    A group of rows that all have null ids thus keeps one. Of rows that share
+    the least id, one stays.
+    """
+    keyed = with_row_key(docs)
+    groups = near_duplicates(keyed, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id").join(keyed.select(ROW, "doc_id"), ROW)
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first"))
+    return kept_rows(keyed, first.select(f"first.{ROW}"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,3 +235,28 @@ def test_pipeline(spark, tmp_path):
     assert set(kept["packing"]) == set(kept["secret_scan"]) == set(kept["simhash"])
     assert p.run(spark, str(tmp_path)).count() == len(kept["packing"])
     assert json.dumps(sorted(kept["packing"])) != "[]"
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def after_dedup(spark, rows):
+    """Places of the rows that each of the two stages keeps by itself."""
+    import corpus_pipeline as p
+
+    stages = (p.drop_exact_copies, p.drop_near_copies)
+    return [sorted(int(r.source[1:]) for r in stage(spark, documents(spark, rows), "").collect()) for stage in stages]
+
+
+def unlike(count):
+    rng = random.Random(8)
+    return [" ".join("".join(rng.choices("abcdeilmnorst", k=5)) for _ in range(60)) for _ in range(count)]
+
+
+def test_pipeline_keeps_null_ids(spark):
+    a, b, c, d = unlike(4)
+    exact, near = after_dedup(spark, [(None, a), (None, b), (3, b), (4, c), (None, c), (5, d)])
+    assert exact == near == [0, 2, 3, 5]
+    exact, near = after_dedup(spark, [(None, a), (None, a), (None, b)])
+    assert len(exact) == len(near) == 2 and 2 in exact and 2 in near

@@ -108,3 +108,9 @@ def test_counts(spark):
         assert (found.tokens_kept, found.docs_cut) == (sum(min(x, limit) for x in lengths), sum(x > limit for x in lengths))
     assert quantile(table, 0.5).first().n_tokens == sorted(lengths)[(len(lengths) - 1) // 2]
     assert token_counts(docs.limit(0)).count() == 0
+
+
+def test_null_ids_do_not_share_a_group(spark):
+    docs = spark.createDataFrame([(None, f"cat {k}") for k in range(40)], "doc_id long, text string")
+    out = packing.pack_documents(docs, capacity=1000, group_docs=5).collect()
+    assert len(out) == 40 and len({r.sequence_id for r in out}) >= 5

@@ -187,7 +187,9 @@ def pack(pieces: DataFrame, *, groups: int, capacity: int = 2048) -> DataFrame:
         out = table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
         return out.select([f.name for f in to_arrow(PIECE)])
 
-    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))
+    # Null ids are dealt by their content, so that they don't all meet in one group.
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("ids_crc32", "piece")).otherwise(F.xxhash64("doc_id", "piece"))
+    group = F.pmod(key, F.lit(groups))
     return pieces.withColumn("pack_group", group).groupBy("pack_group").applyInArrow(one, PIECE)
 
 
