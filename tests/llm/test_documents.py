@@ -260,3 +260,11 @@ def test_pipeline_keeps_null_ids(spark):
     assert exact == near == [0, 2, 3, 5]
     exact, near = after_dedup(spark, [(None, a), (None, a), (None, b)])
     assert len(exact) == len(near) == 2 and 2 in exact and 2 in near
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    a, b, c = unlike(3)
+    rows = [(5, a), (5, b), (9, a), (7, c), (7, c), (7, c)]
+    exact, near = after_dedup(spark, rows)
+    assert exact[:2] == [1, 2] and len(exact) == 3
+    assert near[:2] == [0, 1] and len(near) == 3
