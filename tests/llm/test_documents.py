@@ -268,3 +268,11 @@ def test_pipeline_keeps_one_row_of_a_group(spark):
     exact, near = after_dedup(spark, rows)
     assert exact[:2] == [1, 2] and len(exact) == 3
     assert near[:2] == [0, 1] and len(near) == 3
+
+
+def test_secrets_behind_the_gates(spark):
+    texts = ["pwd is k9Jx2mQpL7vR here", "the bearer Zk9Jx2mQpL7vRdeadbeefdeadbeef99tWzB8nYc1 was here", "my token: k9Jx2mQpL7vR4tWzB8nYc1 is used"]
+    got = {r.doc_id: r.text for r in s.redact(table(spark, texts)).collect()}
+    assert got == {0: "pwd is [secret] here", 1: "the bearer [secret] was here", 2: "my [secret] is used"}
+    spans = {r.doc_id: r.spans for r in s.secret_scan(table(spark, texts)).collect()}
+    assert spans[0] == "novel:7:19" and spans[1].startswith("novel:11:") and "hex:" in spans[1] and "novel" not in spans[2]

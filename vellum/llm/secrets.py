@@ -21,7 +21,7 @@ KINDS = ("assign", "access", "hex", "novel")
 # Words that make a place sensitive.
 SENSITIVE = ("password", "passwd", "pwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key", "client_key", "credential", "authorization", "bearer", "signature", "session")
 SENSITIVE_AT = re.compile("(?i:" + "|".join(SENSITIVE) + ")", re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 # Identifiers and code that secrets are set against.
 IDENTIFIERS = "abstract address application argument array assert async attribute authorization await bearer begin boolean bucket buffer build bytes cache callback catch certificate channel char class client cluster code collection column commit component config configuration connection console const constructor container content context controller cookie count counter create credential current cursor data database date debug default define delete description destination dictionary directory document domain double element else email encoding endpoint entity enum environment error event example except exception execute export extends extension factory false field file filename filter final finally float folder format function generate group handler hash header height helper host https identifier image implements import index information init input insert instance integer interface internal invalid iterator json kernel label lambda language length level library limit line link list listener load local location logger login long manager mapping master match maximum memory message method minimum model module name namespace network node null number object offset online operation option order output package page parameter parent parse partition pass path pattern payload permission pipeline plugin pointer policy position prefix previous primary private process production profile project property protocol provider proxy public query queue random range read record reference region register registry release remote remove render replace repository request required reset resource response result return role route rule runtime sample scheduler schema scope script search section security select sequence server service session setting signature size socket source stack start state static status storage stream string struct submit suffix summary super switch system table target task template test text thread throw timeout timestamp title token total trace transaction transform true type undefined unique update upload user username utility valid value variable vector version view void warning webhook width window workflow wrapper write"
 CODE = " = os.environ.get(\" = getenv(' if __name__ == \"__main__\": import json public static final String const require(' export default function() { return } \"Authorization\": \"Bearer \" https://www.example.com/api/v1/ 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ aaaaaaaa 00000000 -------- ======== xxxxxxxx ________ your_api_key_here changeme placeholder example_password "
@@ -64,7 +64,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, *, reach: int = REACH, min_bits: float = MIN_BITS) -> list[tuple[int, int, str]]:
-    """Strings of letters with digits, shortly after a sensitive word, that do not compress."""
+    """Strings that do not compress, shortly after a sensitive word.
+
+    Measured is what starts at most ``reach`` characters behind the word, has at
+    least 12 characters (as the base rule), letters and digits both, and does
+    not lie wholly inside one base span.
+    """
     out: dict[int, tuple[int, int, str]] = {}
     if not is_sensitive(text):
         return []
@@ -74,7 +79,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty,
                 break
             start, end = m.span()
             value = m.group()
-            if start in out or any(a < end and start < b for a, b, _ in taken) or not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+            if start in out or any(a <= start and end <= b for a, b, _ in taken) or not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
                 continue
             if novelty.bits_per_char(text[max(0, start - reach) : start], value, text[end : end + reach]) >= min_bits:
                 out[start] = (start, end, "novel")
@@ -100,7 +105,8 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Spans are ``kind:start:end`` in code points, end exclusive. Null text is
     empty and has none. Overlapping spans of different kinds all stay; a novel
-    span never overlaps a base one.
+    span never lies wholly inside a base one. Only strings that pass the gates
+    of ``novel_spans`` are measured.
     """
 
     def start():
