@@ -1,4 +1,4 @@
-"""Retrieval and answer metrics, and comparisons of runs."""
+"""Retrieval and answer metrics, and comparisons of runs (A12-A28, A30-A32, C13 in part, C15, C22, C23)."""
 
 from __future__ import annotations
 

@@ -114,7 +114,7 @@ def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three arms, and the fused one reranked at several depths, over the same queries."""
+    """C13 without its filtered arms, C23: the three arms, and the fused one reranked at several depths, over the same queries."""
     plain = arms(spark, sf_dir)
     texts = c.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
     pool = plain.filter(F.col("arm") == "hybrid").join(texts, "key").join(c.benchmark_queries(spark, sf_dir).select("query_id", "query"), "query_id").withColumnRenamed("rank", "retrieval_rank")
