@@ -276,3 +276,16 @@ def test_secrets_behind_the_gates(spark):
     assert got == {0: "pwd is [secret] here", 1: "the bearer [secret] was here", 2: "my [secret] is used"}
     spans = {r.doc_id: r.spans for r in s.secret_scan(table(spark, texts)).collect()}
     assert spans[0] == "novel:7:19" and spans[1].startswith("novel:11:") and "hex:" in spans[1] and "novel" not in spans[2]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_language_floor_follows_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, rng = fit(docs), random.Random(1)
+    finnish = "ja on ei se että hän mutta kun niin olla voida myös kaikki tämä joka mitä sitten nyt hyvin kaupunki ihminen päivä yö vesi maa talo koulu kirja ystävä yhdessä työskennellä kysymys vastaus".split()
+    letters = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(2000)]
+    assert model.verdict(" ".join(letters))[2]
+    assert model.verdict(" ".join(rng.choices(finnish, k=2000)))[2]
+    rows = docs.select("text").filter("lang is not null and length(text) > 1000").limit(300).collect()
+    for length in (60, 120, 500, None):
+        assert sum(model.verdict(r.text[:length])[2] for r in rows) <= 0.01 * len(rows), length

@@ -19,6 +19,10 @@ PARTS = 64
 LETTER = regex.compile(r"\p{L}")
 #: Letters below which a text is never rejected for its distance.
 SURE_LETTERS = 20
+#: Letters at which the classes of text length start, each with its own floor.
+LENGTHS = np.array([SURE_LETTERS, 80, 320, 1280, 5120])
+#: Rows of a class below which it takes the floor of the class before it.
+ENOUGH_ROWS = 10
 LETTERS_ONLY = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 UNDETERMINED = "und"
 
@@ -65,6 +69,22 @@ def clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids.astype(np.float32)
 
 
+def length_class(letters):
+    return np.searchsorted(LENGTHS, letters, side="right") - 1
+
+
+def floors(scores: np.ndarray, letters: np.ndarray, slack: float) -> np.ndarray:
+    """The least cosine that is not rejected, for each class of text length; it never falls with length."""
+    sure = scores[letters >= SURE_LETTERS]
+    out, least = [], slack * float(sure.min()) if len(sure) else 0.0
+    for n in range(len(LENGTHS)):
+        own = scores[length_class(letters) == n]
+        if n and len(own) >= ENOUGH_ROWS:
+            least = max(least, slack * float(np.quantile(own, 0.1)))
+        out.append(least)
+    return np.array(out)
+
+
 @dataclass
 class Centroids:
     """A fitted model: its size is fixed by the width, the languages of the sample and k."""
@@ -76,7 +96,10 @@ class Centroids:
     floor: np.ndarray
 
     def rejects(self, text: str, best: int, score: float) -> bool:
-        return bool(score < self.floor[best]) and sum(map(str.isalpha, text)) >= SURE_LETTERS
+        if score >= self.floor[best, -1]:  # the highest; letters need not be counted
+            return False
+        letters = sum(map(str.isalpha, text))
+        return letters >= SURE_LETTERS and bool(score < self.floor[best, length_class(letters)])
 
     def verdict(self, text: str) -> tuple[str, float, bool]:
         """Language, cosine and whether the text is rejected."""
@@ -111,33 +134,34 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Learn centroids from at most ``fit_rows`` rows (2000 by default), whatever the size of the table.
 
     A row of at least ``SURE_LETTERS`` letters is rejected later if its cosine
-    with the nearest centroid is below ``slack`` times the least that any such
-    row of the sample had with its own.
+    with the nearest centroid is below the floor of its length: ``slack`` times
+    the least that any such row of the sample had with its own, or for longer
+    texts ``slack`` times the lowest tenth's bound of the sampled rows of that
+    length, so that a short scrap does not set the floor of long texts.
     """
 
     def start():
         def one(lang: str, text: str) -> Iterator[tuple]:
             if LETTER.search(text):
                 counts = gram_counts(text)
-                yield lang, np.minimum(counts, 2**31 - 1).astype("<u4").tobytes(), sum(map(str.isalpha, text)) >= SURE_LETTERS
+                yield lang, np.minimum(counts, 2**31 - 1).astype("<u4").tobytes(), sum(map(str.isalpha, text))
 
         return one
 
-    rows = map_rows(training_rows(docs, id_col, text_col, lang_col, fit_rows), [F.col("lang"), F.col("text")], "lang string, counts binary, long boolean", start).collect()
+    rows = map_rows(training_rows(docs, id_col, text_col, lang_col, fit_rows), [F.col("lang"), F.col("text")], "lang string, counts binary, letters bigint", start).collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
     if not rows:
-        return Centroids([], np.zeros(0, int), np.zeros((0, WIDTH), np.float32), np.ones(WIDTH), np.zeros(0))
+        return Centroids([], np.zeros(0, int), np.zeros((0, WIDTH), np.float32), np.ones(WIDTH), np.zeros((0, len(LENGTHS))))
     counts = np.stack([np.frombuffer(r["counts"], "<u4") for r in rows])
     idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1
-    vectors, labels, long = weighted(counts, idf), np.array([r["lang"] for r in rows]), np.array([r["long"] for r in rows])
+    vectors, labels, letters = weighted(counts, idf), np.array([r["lang"] for r in rows]), np.array([r["letters"] for r in rows])
     languages, owner, centroids, floor = sorted(set(labels)), [], [], []
     for n, lang in enumerate(languages):
         of_lang = vectors[labels == lang]
         found = clustered(of_lang, k)
         scores = of_lang @ found.T
-        sure = scores.max(axis=1)[long[labels == lang]]
         owner += [n] * len(found)
-        floor += [slack * float(sure.min()) if len(sure) else 0.0] * len(found)
+        floor += [floors(scores.max(axis=1), letters[labels == lang], slack)] * len(found)
         centroids.append(found)
     return Centroids([str(x) for x in languages], np.array(owner), np.concatenate(centroids), idf, np.array(floor))
 
