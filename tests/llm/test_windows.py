@@ -8,7 +8,7 @@ import pytest
 from vellum.llm.byte_windows import suffix_dedup
 from vellum.llm.chunks import difference_cover
 from vellum.llm.suffixes import repeated_prefixes
-from vellum.llm.word_windows import substring_dedup
+from vellum.llm.word_windows import substring_dedup, word_lists
 
 
 def removed(sequences, width):
@@ -79,3 +79,18 @@ def test_suffixes():
         starts = np.array(sorted(rng.sample(range(len(data) - depth + 1), rng.randrange(2, min(600, len(data) - depth)))))
         times = Counter(data[s : s + depth] for s in starts)
         assert repeated_prefixes(np.frombuffer(data, np.uint8), starts, depth, rng.choice([10, 50, 10_000])).tolist() == [times[data[s : s + depth]] > 1 for s in starts]
+
+
+def test_colliding_words(spark):
+    """Polynomial hashes modulo 2**64 collide on a Thue-Morse word and its complement, whatever their odd base."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(34))
+    docs = spark.createDataFrame([(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"{rest} {word}"), (4, f"{rest}\n{word}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 35, 4: 35}
+
+
+def test_word_parts(monkeypatch):
+    monkeypatch.setattr("vellum.llm.word_windows.SPLIT_BYTES", 5)
+    for text in (b"", b"  ", b"a bb ccc dddd eeeee ffffff ", b"one\ttwo\n\nthreefourfivesix seven", b" x"):
+        assert [w for words in word_lists(text, 0, len(text)) for w in words] == text.split()

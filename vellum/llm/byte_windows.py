@@ -9,8 +9,8 @@ gram and travel as one segment, at the cost of one byte for each and
 and compares neighbours, and answers with one bit for each.
 
 A gram in very many chunks would bring one task too many segments. Suffixes
-below such a gram are dealt one by one, by a 96-bit key of their whole prefix,
-and compared by it.
+below such a gram are dealt one by one, by 96 bits of a digest of their whole
+prefix, and compared by it.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.chunks import BITS, BYTE_VALUES, KEYS, Chunk, Rolling, buckets_for, chunk_table, covered, distinct_keys, each_chunk, key_rows, read_bits, repeated_bits, with_bits
-from vellum.llm.common import cut, to_arrow
+from vellum.llm.chunks import BITS, BYTE_VALUES, KEYS, Chunk, Rolling, buckets_for, chunk_table, covered, distinct_keys, each_chunk, key_rows, read_bits, repeated_bits, strong_keys, with_bits
+from vellum.llm.common import cut, give_back, to_arrow
 from vellum.llm.suffixes import repeated_prefixes
 
 LENGTH = 200
@@ -35,7 +35,7 @@ HOT_CHUNKS = 500
 BUCKET_BYTES = 2 << 20
 SORTED_BYTES = 1 << 20
 LONGEST_RUN = 4096
-GRAMS, PREFIXES, PREFIXES_TOO = Rolling(0x9E3779B97F4A7C15), Rolling(0xA0761D6478BD642F), Rolling(0xD6E8FEB86659FD93)
+GRAMS = Rolling(0x9E3779B97F4A7C15)
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 HALF = "chunk bigint, ids array<bigint>, sizes array<bigint>, body binary, runs binary, hot binary, n_hot bigint, done_id array<bigint>, done_bytes array<bigint>, done_sha array<string>"
 NONE = np.uint64(2**64 - 1)
@@ -162,7 +162,7 @@ def sorted_buckets(keys: DataFrame, length: int) -> DataFrame:
         known.clear()
         of = sorted_segments(values, counts, grams, again, length)
         bits = [np.packbits(np.concatenate([of[k] for k in own])).tobytes() for own in rows]
-        pa.default_memory_pool().release_unused()  # a worker lives on, and would keep it
+        give_back()
         return pa.Table.from_arrays([table["chunk"], table["bucket"], pa.array(bits, pa.binary())], schema=schema)
 
     return keys.groupBy("bucket").applyInArrow(one, BITS)
@@ -254,7 +254,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         yield from segment_rows(number, found, times)
 
     def prefix_keys(number: int, chunk: Chunk, hot: bytes) -> Iterator[tuple]:
-        high, low, _, _ = distinct_keys(*prefixes(chunk.data, expanded(unpacked(hot)), length))
+        high, low, _, _ = distinct_keys(*strong_keys(chunk.data, expanded(unpacked(hot)), length))
         yield from key_rows(number, high, low, of_prefixes)
 
     second = with_bits(open_, sorted_buckets(each_chunk(open_, KEYS, suffix_keys, extra=("runs",)), length))
@@ -270,7 +270,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         ends = np.cumsum([c for *_, c in found])
         starts = [s + np.flatnonzero(flags[ends[k] - c : ends[k]]) for (s, c, _), k in zip(spans.tolist(), number_of.tolist(), strict=True)]
         if len(singles):
-            high, _, times, place = distinct_keys(*prefixes(chunk.data, singles, length))
+            high, _, times, place = distinct_keys(*strong_keys(chunk.data, singles, length))
             starts.append(singles[(read_bits(hot_bits, high, of_prefixes) | (times > 1))[place]])
         at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
         gone = covered(len(chunk.data), at, at + length)
@@ -289,13 +289,6 @@ def expanded(runs: np.ndarray) -> np.ndarray:
     return np.repeat(runs[:, 0] - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
-def prefixes(data: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """96-bit keys of the prefixes at the starts."""
-    values = BYTE_VALUES[np.frombuffer(data, np.uint8)]
-    high = PREFIXES.spans(PREFIXES.sums(values), starts, starts + length)
-    return high, (PREFIXES_TOO.spans(PREFIXES_TOO.sums(values), starts, starts + length) >> np.uint64(32)).astype(np.uint32)
-
-
 def suffix_flags(found: list[tuple[int, int, bytes, int]], bits: list[bytes] | None) -> np.ndarray:
     """The bits of a chunk's distinct segments, bucket by bucket."""
     sizes: dict[int, int] = {}

@@ -15,15 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, quoted, to_arrow
+from vellum.llm.common import cut, give_back, quoted, to_arrow
 
 CHUNK_BYTES = 2 << 20
-KEYS_PER_BUCKET = 1_500_000
+KEYS_PER_BUCKET = 400_000
 CHUNKS = "chunk bigint, ids array<bigint>, sizes array<bigint>, body binary, n_bytes bigint"
 KEYS = "chunk bigint, bucket bigint, body binary"
 BITS = "chunk bigint, bucket bigint, bits binary"
@@ -112,29 +113,33 @@ def repeated_bits(keys: DataFrame, hot: int | None = None) -> DataFrame:
     record = 12
 
     def one(table: pa.Table) -> pa.Table:
-        bodies = table["body"]
-        high, low, sizes = [], [], []
-        for body in bodies:
-            raw = memoryview(body.as_buffer())
-            n = (len(raw) - 8) // record
-            h = np.cumsum(from_planes(raw[8 : 8 + 8 * n], np.dtype("<u8"), n), dtype=np.uint64) + np.frombuffer(raw[:8], "<u8")
-            high.append(h)
-            low.append(from_planes(raw[8 + 8 * n :], np.dtype("<u4"), n))
-            sizes.append(n)
-        h, w = np.concatenate(high), np.concatenate(low)
-        order = np.lexsort((w, h))
-        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])])
-        group = np.empty(len(h), np.int64)
-        group[order] = np.cumsum(new) - 1
-        times = np.bincount(group)[group]
-        sets = [times > 1] if hot is None else [times > 1, times >= hot]
-        ends = np.cumsum(sizes)
-        bits = [np.packbits(np.concatenate([x[e - n : e] for x in sets])).tobytes() for e, n in zip(ends, sizes, strict=True)]
-        return pa.Table.from_arrays([table["chunk"], table["bucket"], pa.array(bits, pa.binary())], schema=schema)
+        bits = bucket_bits([memoryview(body.as_buffer()) for body in table["body"]], record, hot)
+        out = pa.Table.from_arrays([table["chunk"], table["bucket"], pa.array(bits, pa.binary())], schema=schema)
+        del bits
+        give_back()
+        return out
 
     return keys.groupBy("bucket").applyInArrow(one, BITS)
 
 
+def bucket_bits(bodies: list[memoryview], record: int, hot: int | None) -> list[bytes]:
+    sizes = [(len(raw) - 8) // record for raw in bodies]
+    ends = np.cumsum(sizes)
+    high, low = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint32)
+    for raw, n, e in zip(bodies, sizes, ends.tolist(), strict=True):
+        high[e - n : e] = np.cumsum(from_planes(raw[8 : 8 + 8 * n], np.dtype("<u8"), n), dtype=np.uint64) + np.frombuffer(raw[:8], "<u8")
+        low[e - n : e] = from_planes(raw[8 + 8 * n :], np.dtype("<u4"), n)
+    order = np.lexsort((low, high)).astype(np.uint32)
+    high, low = high[order], low[order]
+    new = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
+    del high, low
+    times = np.empty(len(order), np.uint32)
+    own = np.diff(new, append=len(order)).astype(np.uint32)
+    times[order] = np.repeat(own, own)
+    sets = [times > 1] if hot is None else [times > 1, times >= hot]
+    return [np.packbits(np.concatenate([x[e - n : e] for x in sets])).tobytes() for e, n in zip(ends.tolist(), sizes, strict=True)]
+
+
 def with_bits(chunks: DataFrame, bits: DataFrame) -> DataFrame:
     """The chunks, each with its bits in the order of the buckets (null if it has no keys)."""
     gathered = bits.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "bits"))).alias("found")).select("chunk", F.col("found.bits").alias("bits"))
@@ -170,6 +175,8 @@ def each_chunk(chunks: DataFrame, schema: str, one: Callable[..., Iterator[tuple
                         rows, weight = [], 0
                 if rows:
                     yield as_batch(rows, out_schema)
+                del rows
+                give_back()
 
     return chunks.select(*names).mapInArrow(run, schema)
 
@@ -209,6 +216,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def strong_keys(data: bytes | memoryview, starts: np.ndarray, size: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of the XXH3-128 digest of ``size`` items of ``step`` bytes from each start."""
+    view, digest, width = memoryview(data), xxhash.xxh3_128_digest, size * step
+    high, low = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint32)
+    for at in range(0, len(starts), 1 << 16):
+        some = (starts[at : at + (1 << 16)] * step).tolist()
+        found = np.frombuffer(b"".join([digest(view[a : a + width]) for a in some]), ">u8").reshape(-1, 2)
+        high[at : at + len(some)], low[at : at + len(some)] = found[:, 0], found[:, 1] >> np.uint64(32)
+    return high, low
+
+
 def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of ``size`` places lie in any of the given spans."""
     edges = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)

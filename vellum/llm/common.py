@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,19 +14,51 @@ ROWS_PER_BATCH = 2_000
 
 
 def with_checkpoint_dir(spark: SparkSession) -> SparkSession:
-    """Keep the cluster's shared ``spark.checkpoint.dir``; choose a folder only where none is set."""
+    """Keep the cluster's shared ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets a temporary folder; a cluster, whose
+    machines would not share one, gets an error.
+    """
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", "") and not sc.getCheckpointDir():
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-"))
     return spark
 
 
+def give_back() -> None:
+    """Return free memory to the system: a worker lives on after its task, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation."""
     with_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+#: A key with more than one of so many rows is hot; there can be no more hot keys than that.
+HOT_SHARE = 1024
+
+
+def join_by_size(rows: DataFrame, facts: DataFrame, key: list[str], size: str) -> DataFrame:
+    """Add the facts of its key to each row, without one task for all rows of a key.
+
+    ``facts`` has one row for each key of ``rows``, with the number of rows in
+    ``size``; it is read more than once, so it should be materialised. Facts of
+    hot keys, at most ``HOT_SHARE`` rows, are broadcast; only the rows of other
+    keys are shuffled.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    hot = facts.filter(F.col(size) * HOT_SHARE > total)
+    few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.filter(F.col(size) * HOT_SHARE <= total), key)
+    return rows.join(F.broadcast(hot), key).unionByName(few)
+
+
 def map_rows(df: DataFrame, columns: list[Column], schema: str, start: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
     """Run a per-row Python function in Arrow batches.
 
@@ -49,7 +82,7 @@ def map_rows(df: DataFrame, columns: list[Column], schema: str, start: Callable[
             if out:
                 yield to_batch(out, out_schema)
             del batch, out
-            pa.default_memory_pool().release_unused()  # a worker lives on, and would keep it
+            give_back()
 
     return chosen.mapInArrow(run, schema)
 
