@@ -14,7 +14,7 @@ from vellum.llm.components import components
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.language import fit, language_id
 from vellum.llm.quality import jensen_shannon, quality_rules, repeated_words
-from vellum.llm.simhash import fingerprint, near_duplicates
+from vellum.llm.simhash import Forest, fingerprint, links, near_duplicates, trie_links
 
 import numpy as np
 
@@ -59,8 +59,61 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize("trie_size", [2_000_000, 2])
-def test_simhash(spark, trie_size):
+def brute_components(values, budget):
+    """For each value the place of the least one reachable by links of at most ``budget`` bits."""
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= budget
+    root = np.arange(len(values))
+    while (down := np.where(near, root[None, :], len(values)).min(axis=1)).tolist() != root.tolist():
+        root = down
+    return root
+
+
+def planted_values(seed, size=2500):
+    """Values in chains of a few differing bits, some of them dense, and some that share their upper bits."""
+    rng = random.Random(seed)
+    out = {rng.getrandbits(64) for _ in range(size)}
+    for value in rng.sample(sorted(out), size // 5):
+        for _ in range(rng.choice([1, 2, 12])):
+            for bit in rng.sample(range(64), rng.choice([1, 2, 3, 4])):
+                value ^= 1 << bit
+            out.add(value)
+    out |= {(0xABCD << 48) | rng.getrandbits(20) for _ in range(200)} | {0, 1, 2**64 - 1, 2**63}
+    return np.array(sorted(out), np.uint64)
+
+
+@pytest.mark.parametrize(("leaf", "budget"), [(1, 3), (64, 3), (1, 2), (1, 4)])
+def test_trie_walk(monkeypatch, leaf, budget):
+    monkeypatch.setattr("vellum.llm.simhash.LEAF_PAIRS", leaf)
+    values = planted_values(budget)
+    n = len(values)
+    one, all_ = np.zeros(1, np.int64), np.full(1, n)
+    turned = np.sort((values << np.uint64(32)) | (values >> np.uint64(32)))
+    place = np.searchsorted(values, (turned << np.uint64(32)) | (turned >> np.uint64(32)))
+    together = Forest(n)
+    for own, at in ((values, np.arange(n)), (turned, place)):
+        forest = Forest(n)
+        visited, compared = trie_links(own, (one, all_, one, all_), budget, forest)
+        assert compared < n * n / 20  # the others are settled by the walk
+        if leaf == 1:
+            assert visited > n
+        together.link(at, at[forest.parent])
+    found, expected = together.roots(np.arange(n)), brute_components(values, budget)
+    assert found.tolist() == expected.tolist()
+
+
+@pytest.mark.parametrize("node_size", [1 << 15, 100])
+def test_links(spark, node_size):
+    values = planted_values(9, 1200)
+    rows = spark.createDataFrame([(int(v.view(np.int64)),) for v in values], "fp long")
+    found = links(rows, node_size=node_size).collect()
+    at = {int(v.view(np.int64)): k for k, v in enumerate(values)}
+    forest = Forest(len(values))
+    forest.link(np.array([at[r.a] for r in found]), np.array([at[r.b] for r in found]))
+    assert forest.roots(np.arange(len(values))).tolist() == brute_components(values, 3).tolist()
+
+
+@pytest.mark.parametrize("node_size", [1 << 15, 2])
+def test_simhash(spark, node_size):
     rng = random.Random(5)
     base = [" ".join(rng.choices("abcdefgh", k=80)) for _ in range(12)]
     texts = [*EDGES, *base]
@@ -83,7 +136,7 @@ def test_simhash(spark, trie_size):
             if (fps[a] ^ fps[b]).bit_count() <= 3:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in near_duplicates(table(spark, texts), trie_size=trie_size).collect()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in near_duplicates(table(spark, texts), node_size=node_size).collect()}
     assert got == {i: (f"{fps[i]:016x}", find(i)) for i in range(len(texts))}
     assert near_duplicates(table(spark, ["x"]).limit(0)).count() == 0
 

@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, quoted
+from vellum.llm.common import cut, join_by_size, quoted
 
 KEY = ["sha", "n_bytes", "proof"]
 
@@ -54,8 +54,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gives no rows; columns other than the two named are not read.
     """
     rows = cut(digests(docs, id_col, text_col))
-    chosen = tree_merge(rows, keep=keep, fan_in=fan_in, rounds=rounds)
-    return rows.join(chosen, KEY).select(
+    chosen = cut(tree_merge(rows, keep=keep, fan_in=fan_in, rounds=rounds))
+    return join_by_size(rows, chosen, KEY, "group_size").select(
         F.col("id").alias("doc_id"),
         "keep_id",
         "group_size",

@@ -10,20 +10,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, map_rows, quoted, text_of
+from vellum.llm.common import cut, join_by_size, map_rows, quoted, text_of
 from vellum.llm.components import components
 
 BITS = 64
+HALF = BITS // 2
 SEED = 42
-#: Pairs of nodes that are compared leaf by leaf once their product is this small.
-LEAF_PAIRS = 256
-#: Fingerprints of one trie above which it is dealt out by its next bits.
-TRIE_SIZE = 2_000_000
-#: Pairs that are compared at once.
+#: Pairs of nodes that are compared value by value once their product is this small.
+LEAF_PAIRS = 64
+#: Fingerprints that a node has at most when node pairs are dealt out.
+NODE_SIZE = 1 << 15
+#: Levels at which node pairs may be dealt out.
+DEEPEST = 16
+#: Node pairs, or pairs of values, that are handled at once.
 PAIRS_AT_ONCE = 1 << 17
-#: Bits by which a trie above that size is dealt out.
-NEXT_BITS = 8
-TRIE = ("block", "prefix", "node")
+#: Rows of node pairs that a task walks together.
+ROWS_AT_ONCE = 500_000
+PAIR = ("half", "low", "high")
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -59,36 +62,41 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 class Forest:
-    """Union-find over positions; the links that are kept form a spanning forest."""
+    """Union-find over positions, a batch of links at a time; the links that are kept form a spanning forest."""
 
     def __init__(self, size: int) -> None:
         self.parent = np.arange(size)
 
-    def root(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    def roots(self, of: np.ndarray) -> np.ndarray:
+        while (up := self.parent[of]).size and (up != of).any():
+            of = up
+        return of
 
     def link(self, left: np.ndarray, right: np.ndarray) -> None:
-        for a, b in zip(left.tolist(), right.tolist(), strict=True):
-            a, b = self.root(a), self.root(b)
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
+        """Hang the greater root of each link on the least root that it is linked with, until every link lies in one tree."""
+        ends = np.concatenate([left, right])
+        while len(left):
+            a, b = self.roots(left), self.roots(right)
+            apart = a != b
+            left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+        self.parent[ends] = self.roots(ends)
 
 
-def trie_links(values: np.ndarray, roots: tuple[np.ndarray, ...], budget: int, forest: Forest) -> None:
-    """Link the values below each pair of root nodes that differ in at most ``budget`` bits.
+def trie_links(values: np.ndarray, pairs: tuple[np.ndarray, ...], budget: int, forest: Forest) -> tuple[int, int]:
+    """Link the values below each pair of nodes that differ in at most ``budget`` bits, half of them in the upper half.
 
-    ``roots`` holds the bounds ``a0, a1, b0, b1`` of sorted ranges. A range is
+    ``pairs`` holds the bounds ``a0, a1, b0, b1`` of sorted ranges. A range is
     read as a binary trie: a node is a range of values with a common prefix.
     All node pairs of one depth are walked together. A pair of sides 0 and 1
-    costs one bit of the budget; a pair over budget, or with an empty side, is
-    dropped. Small pairs are compared value by value.
+    costs one bit; a pair over the budget (of its half), or with an empty side,
+    is dropped with all that lies below it. Small pairs are compared value by
+    value. Returns how many node pairs were visited and how many pairs of
+    values compared.
     """
-    keep = (roots[1] > roots[0]) & (roots[3] > roots[2])
-    stack = [(BITS - 1, *(x[keep] for x in roots), np.zeros(int(keep.sum()), np.int8))]
+    keep = (pairs[1] > pairs[0]) & (pairs[3] > pairs[2])
+    stack = [(BITS - 1, *(x[keep] for x in pairs), np.zeros(int(keep.sum()), np.int8))]
+    visited = compared = 0
     while stack:
         bit, a0, a1, b0, b1, cost = stack.pop()
         if len(a0) == 0:
@@ -97,18 +105,20 @@ def trie_links(values: np.ndarray, roots: tuple[np.ndarray, ...], budget: int, f
             half = len(a0) // 2
             stack += [(bit, a0[s], a1[s], b0[s], b1[s], cost[s]) for s in (slice(half, None), slice(0, half))]
             continue
+        visited += len(a0)
         small = ((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (bit < 0)
-        compare_leaves(values, a0[small], a1[small], b0[small], b1[small], budget, forest)
+        compared += compare_leaves(values, a0[small], a1[small], b0[small], b1[small], budget, forest)
         a0, a1, b0, b1, cost = (x[~small] for x in (a0, a1, b0, b1, cost))
         if len(a0) == 0:
             continue
         am, bm = first_with_bit(values, a0, a1, bit), first_with_bit(values, b0, b1, bit)
         same = (a0 == b0) & (a1 == b1)
-        cross = cost + np.int8(1) <= budget
+        cross = cost < (budget // 2 if bit >= HALF else budget)
         parts = [(a0, am, b0, bm, cost, slice(None)), (am, a1, bm, b1, cost, slice(None)), (a0, am, bm, b1, cost + np.int8(1), cross), (am, a1, b0, bm, cost + np.int8(1), cross & ~same)]
         nxt = [np.concatenate([p[k][p[5]] for p in parts]) for k in range(5)]
         some = (nxt[1] > nxt[0]) & (nxt[3] > nxt[2])
         stack.append((bit - 1, *(x[some] for x in nxt)))
+    return visited, compared
 
 
 def first_with_bit(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -123,10 +133,10 @@ def first_with_bit(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int)
     return lo
 
 
-def compare_leaves(values: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, budget: int, forest: Forest) -> None:
-    """All pairs of the given ranges, a bounded number at a time."""
+def compare_leaves(values: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, budget: int, forest: Forest) -> int:
+    """Compare all pairs of the given ranges, a bounded number at a time; returns their number."""
     if len(a0) == 0:
-        return
+        return 0
     size = (a1 - a0) * (b1 - b0)
     ends = np.cumsum(size)
     done = 0
@@ -141,61 +151,66 @@ def compare_leaves(values: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.nd
         near = (left != right) & (np.bitwise_count(values[left] ^ values[right]) <= budget)
         forest.link(left[near], right[near])
         done = upto
+    return int(ends[-1])
+
+
+def dealing_depth(turned: DataFrame, node_size: int) -> int:
+    """The least depth at which no node of either trie has more than ``node_size`` values; at most ``DEEPEST``."""
+    lowest = F.shiftrightunsigned("turned", BITS - DEEPEST)
+    counts = turned.groupBy("half", lowest.alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    above = counts.select("half", "node", "n", F.explode(F.sequence(F.lit(0), F.lit(DEEPEST))).alias("depth"))
+    node = F.expr(f"shiftrightunsigned(node, {DEEPEST} - depth)")
+    largest = above.groupBy("half", "depth", node.alias("node")).agg(F.sum("n").alias("n")).groupBy("depth").agg(F.max("n").alias("n"))
+    found = largest.filter(F.col("n") <= node_size).agg(F.min("depth")).first()[0]
+    return DEEPEST if found is None else found
 
 
-def links(distinct: DataFrame, *, budget: int = 3, trie_size: int = TRIE_SIZE) -> DataFrame:
+def links(distinct: DataFrame, *, budget: int = 3, node_size: int = NODE_SIZE) -> DataFrame:
     """Links ``a, b`` that join all fingerprints ``fp`` within ``budget`` bits of each other.
 
-    Of ``budget + 1`` blocks of bits, two such fingerprints agree in one at
-    least. So there is one trie for each block and each of its values, with the
-    block's bits as the common prefix; it holds distinct fingerprints only. A
-    trie above ``trie_size`` is dealt out by the pairs of nodes of its next
-    bits that lie within the budget, so no task holds more than two nodes. Each
-    task keeps a spanning forest of the links it finds, which joins the same
-    fingerprints as all of them.
+    Two such fingerprints differ in at most ``budget // 2`` bits of one of their
+    halves. So there are two binary tries over all distinct fingerprints, one of
+    them with the halves exchanged, and in each the walk over node pairs may
+    spend that many bits on the upper half and the whole budget in all. The
+    pairs of nodes of one depth that the upper half's budget allows are dealt
+    out, and each task walks down from its pairs: at depth ``d`` a fingerprint
+    goes to ``1 + d`` of them for the default budget. The depth follows the
+    largest node, so a task's share does not grow with the table. A task keeps a
+    spanning forest of the links it finds, which joins the same fingerprints as
+    all of them.
     """
-    blocks = budget + 1
-    width = BITS // blocks
     fp = F.col("fp")
-    turned = [fp if b == 0 else F.shiftleft(fp, b * width).bitwiseOR(F.shiftrightunsigned(fp, BITS - b * width)) for b in range(blocks)]
-    keyed = distinct.select("fp", F.posexplode(F.array(*turned)).alias("block", "turned")).withColumn("prefix", F.shiftrightunsigned("turned", BITS - width))
-    large = cut(keyed.groupBy("block", "prefix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > trie_size))
-    if large.isEmpty():
-        dealt = keyed.select("block", "prefix", F.lit(0).alias("node"), F.lit(0).alias("side"), "turned")
-    else:
-        node = F.shiftrightunsigned(F.shiftleft(F.col("turned"), width), BITS - NEXT_BITS).cast("int")
-        near = [x for x in range(1 << NEXT_BITS) if x.bit_count() <= budget]
-        split = keyed.join(large.select("block", "prefix"), ["block", "prefix"], "left_semi").withColumn("own", node).withColumn("other", F.explode(F.array(*[F.col("own").bitwiseXOR(F.lit(x)) for x in near])))
-        split = split.select("block", "prefix", (F.least("own", "other") * (1 << NEXT_BITS) + F.greatest("own", "other") + 1).alias("node"), (F.col("own") > F.col("other")).cast("int").alias("side"), "turned")
-        whole = keyed.join(large.select("block", "prefix"), ["block", "prefix"], "left_anti").select("block", "prefix", F.lit(0).alias("node"), F.lit(0).alias("side"), "turned")
-        dealt = whole.unionByName(split)
+    exchanged = F.shiftleft(fp, HALF).bitwiseOR(F.shiftrightunsigned(fp, HALF))
+    turned = distinct.select(F.posexplode(F.array(fp, exchanged)).alias("half", "turned"))
+    depth = dealing_depth(turned, node_size)
+    near = [x for x in range(1 << depth) if x.bit_count() <= budget // 2]
+    own = F.shiftrightunsigned("turned", BITS - depth) if depth else F.lit(0).cast("bigint")
+    dealt = turned.withColumn("own", own).withColumn("other", F.explode(F.array(*[F.col("own").bitwiseXOR(F.lit(x)) for x in near])))
+    dealt = dealt.select("half", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("side"), "turned")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def join(tries: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        values = tries["turned"].view(np.uint64)
-        first = np.concatenate([[True], np.any([tries[n][1:] != tries[n][:-1] for n in TRIE], axis=0)])
-        lo = np.flatnonzero(first)
+    def join(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        values = rows["turned"].view(np.uint64)
+        lo = np.flatnonzero(np.concatenate([[True], np.any([rows[n][1:] != rows[n][:-1] for n in PAIR], axis=0)]))
         hi = np.concatenate([lo[1:], [len(values)]])
-        apart = (tries["node"][lo] > 0) & ((tries["node"][lo] - 1) >> NEXT_BITS != (tries["node"][lo] - 1) & ((1 << NEXT_BITS) - 1))
-        middle = lo + np.add.reduceat(1 - tries["side"].astype(np.int64), lo)
+        apart = rows["low"][lo] != rows["high"][lo]
+        middle = lo + np.add.reduceat(~rows["side"], lo, dtype=np.int64)
         forest = Forest(len(values))
         trie_links(values, (lo, np.where(apart, middle, hi), np.where(apart, middle, lo), hi), budget, forest)
         child = np.flatnonzero(forest.parent != np.arange(len(values)))
         if len(child):
-            shift = (tries["block"][child].astype(np.uint64)) * np.uint64(width)
-            out = []
-            for x in (values[forest.parent[child]], values[child]):
-                out.append((np.where(shift == 0, x, (x >> shift) | (x << ((np.uint64(BITS) - shift) % np.uint64(BITS))))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], schema=schema)
+            first = rows["half"][child] == 0
+            ends = [np.where(first, x, (x << np.uint64(HALF)) | (x >> np.uint64(HALF))).view(np.int64) for x in (values[forest.parent[child]], values[child])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, np.ndarray] | None = None
         for batch in batches:
-            new = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in (*TRIE, "side", "turned")}
+            new = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in (*PAIR, "side", "turned")}
             kept = new if kept is None else {n: np.concatenate([kept[n], new[n]]) for n in new}
-            if len(kept["turned"]) < 500_000:
+            if len(kept["turned"]) < ROWS_AT_ONCE:
                 continue
-            last = np.flatnonzero(np.any([kept[n] != kept[n][-1] for n in TRIE], axis=0))
+            last = np.flatnonzero(np.any([kept[n] != kept[n][-1] for n in PAIR], axis=0))
             at = int(last[-1]) + 1 if len(last) else 0
             if at:
                 yield from join({n: x[:at] for n, x in kept.items()})
@@ -203,11 +218,11 @@ def links(distinct: DataFrame, *, budget: int = 3, trie_size: int = TRIE_SIZE) -
         if kept is not None and len(kept["turned"]):
             yield from join(kept)
 
-    order = [F.col("block"), F.col("prefix"), F.col("node"), F.col("turned").bitwiseXOR(F.lit(-(2**63)))]
-    return dealt.select(*TRIE, "side", "turned").repartition(*TRIE).sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint")
+    order = [*map(F.col, PAIR), F.col("turned").bitwiseXOR(F.lit(-(2**63)))]
+    return dealt.repartition(*PAIR).sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, trie_size: int = TRIE_SIZE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, node_size: int = NODE_SIZE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
     A component joins fingerprints by links of at most ``budget`` differing
@@ -217,9 +232,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     the least id; a component without any other id has a null one.
     """
     rows = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select("fp"), budget=budget, trie_size=trie_size))
-    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")))
+    roots = components(links(nodes.select("fp"), budget=budget, node_size=node_size))
+    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "size", F.coalesce("root", "fp").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = joined.join(ids, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = cut(joined.join(ids, "root").select("fp", "component_id", "size"))
+    return join_by_size(rows, of_fp, ["fp"], "size").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
