@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -21,16 +23,25 @@ KINDS = ("assign", "access", "hex", "novel")
 # Words that make a place sensitive.
 SENSITIVE = ("password", "passwd", "pwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key", "client_key", "credential", "authorization", "bearer", "signature", "session")
 SENSITIVE_AT = re.compile("(?i:" + "|".join(SENSITIVE) + ")", re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+LEAST = 12
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 # Identifiers and code that secrets are set against.
 IDENTIFIERS = "abstract address application argument array assert async attribute authorization await bearer begin boolean bucket buffer build bytes cache callback catch certificate channel char class client cluster code collection column commit component config configuration connection console const constructor container content context controller cookie count counter create credential current cursor data database date debug default define delete description destination dictionary directory document domain double element else email encoding endpoint entity enum environment error event example except exception execute export extends extension factory false field file filename filter final finally float folder format function generate group handler hash header height helper host https identifier image implements import index information init input insert instance integer interface internal invalid iterator json kernel label lambda language length level library limit line link list listener load local location logger login long manager mapping master match maximum memory message method minimum model module name namespace network node null number object offset online operation option order output package page parameter parent parse partition pass path pattern payload permission pipeline plugin pointer policy position prefix previous primary private process production profile project property protocol provider proxy public query queue random range read record reference region register registry release remote remove render replace repository request required reset resource response result return role route rule runtime sample scheduler schema scope script search section security select sequence server service session setting signature size socket source stack start state static status storage stream string struct submit suffix summary super switch system table target task template test text thread throw timeout timestamp title token total trace transaction transform true type undefined unique update upload user username utility valid value variable vector version view void warning webhook width window workflow wrapper write"
 CODE = " = os.environ.get(\" = getenv(' if __name__ == \"__main__\": import json public static final String const require(' export default function() { return } \"Authorization\": \"Bearer \" https://www.example.com/api/v1/ 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ aaaaaaaa 00000000 -------- ======== xxxxxxxx ________ your_api_key_here changeme placeholder example_password "
+# Parts of words of prose, so that long words beside a sensitive one compress.
+WORD_PARTS = " ation ition ement ments ness able ible ance ence ology graphy ically ously ively fulness isation ionalization ality ivity ability under over inter trans super counter micro multi auto self anti pre pro con com dis mis non sub thing thought light standing character other people heit keit igkeit lichkeit schaft schaften ungen lichen isch ische voll ver ent zer auf aus ein zusammen arbeit anwalt kanzlei rechts verantwort geschwindig begrenz welt anschau wissen entwick verwalt gesell mensch zeit ements ellement ivement ativement ique isme iste eur euse teur aires able ité dévelop constitu adminis natio ción ciones miento mente idad idades ador encia ancia ismo respons caracter cional desarrollo "
+#: Put before what is measured. It stands in the dictionary, so the frame is always a compressed one and its cost drops out.
+FRAME = "return result; private static final configuration connection application environment "
 REACH = 48
 MIN_BITS = 4.0
+#: Strings of letters only, which may be words, are measured from this length on and against this figure.
+LETTERS_FROM = 24
+LETTERS_MIN_BITS = 5.0
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def primed_dictionary() -> zstandard.ZstdCompressionDict:
-    return zstandard.ZstdCompressionDict((CODE + IDENTIFIERS + " " + IDENTIFIERS.upper()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressionDict((CODE + IDENTIFIERS + " " + IDENTIFIERS.upper() + WORD_PARTS + FRAME).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class Novelty:
@@ -40,10 +51,12 @@ class Novelty:
         self.packer = zstandard.ZstdCompressor(level=19, dict_data=primed_dictionary(), write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def bits_per_char(self, before: str, candidate: str, after: str) -> float:
-        """The lower of the figures for the string as it is and in lower case, as names in code come in both."""
-        around = (before + after).encode()
+        """The lowest of the figures for the string as it is, in lower case, and as the words of a name in code."""
+        around = (FRAME + before + after).encode()
         alone = len(self.packer.compress(around))
-        more = min(len(self.packer.compress(around + value.encode())) for value in {candidate, candidate.lower()})
+        low = candidate.lower()
+        forms = {candidate, low, CAMEL.sub(" ", candidate).replace("_", " ").lower()}
+        more = min(len(self.packer.compress(around + value.encode())) for value in forms)
         return 8 * (more - alone) / max(1, len(candidate))
 
 
@@ -63,27 +76,41 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, *, reach: int = REACH, min_bits: float = MIN_BITS) -> list[tuple[int, int, str]]:
+def candidates(text: str, reach: int) -> Iterator[tuple[int, int]]:
+    """Strings of at least 12 characters that start at most ``reach`` characters behind a sensitive word.
+
+    A string ends where the next sensitive word starts, so strings don't
+    overlap, and every character is read a bounded number of times.
+    """
+    words = [m.span() for m in SENSITIVE_AT.finditer(text)]
+    for k, (_, at) in enumerate(words):
+        end = words[k + 1][0] if k + 1 < len(words) else len(text)
+        while found := CANDIDATE.search(text, at, min(end, words[k][1] + reach + LEAST)):
+            at = CANDIDATE.match(text, found.start(), end).end()
+            yield found.start(), at
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, *, reach: int = REACH, min_bits: float = MIN_BITS, letters_min_bits: float = LETTERS_MIN_BITS) -> list[tuple[int, int, str]]:
     """Strings that do not compress, shortly after a sensitive word.
 
-    Measured is what starts at most ``reach`` characters behind the word, has at
-    least 12 characters (as the base rule), letters and digits both, and does
-    not lie wholly inside one base span.
+    Measured is every candidate that does not lie wholly inside a base span and
+    has letters and digits both, or at least ``LETTERS_FROM`` letters: shorter
+    ones can't be told from words of prose.
     """
-    out: dict[int, tuple[int, int, str]] = {}
     if not is_sensitive(text):
         return []
-    for word in SENSITIVE_AT.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end()):
-            if m.start() > word.end() + reach:
-                break
-            start, end = m.span()
-            value = m.group()
-            if start in out or any(a <= start and end <= b for a, b, _ in taken) or not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-                continue
-            if novelty.bits_per_char(text[max(0, start - reach) : start], value, text[end : end + reach]) >= min_bits:
-                out[start] = (start, end, "novel")
-    return sorted(out.values())
+    out, starts, furthest = [], [s[0] for s in taken], list(accumulate((s[1] for s in taken), max))
+    for start, end in candidates(text, reach):
+        before = bisect_right(starts, start)
+        if before and furthest[before - 1] >= end:
+            continue
+        value = text[start:end]
+        letters, digits = sum(map(str.isalpha, value)), any(map(str.isdigit, value))
+        if not letters or not (digits or letters >= LETTERS_FROM):
+            continue
+        if novelty.bits_per_char(text[max(0, start - reach) : start], value, text[end : end + reach]) >= (min_bits if digits else letters_min_bits):
+            out.append((start, end, "novel"))
+    return out
 
 
 def scanner(reach: int = REACH, min_bits: float = MIN_BITS):
@@ -106,7 +133,8 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Spans are ``kind:start:end`` in code points, end exclusive. Null text is
     empty and has none. Overlapping spans of different kinds all stay; a novel
     span never lies wholly inside a base one. Only strings that pass the gates
-    of ``novel_spans`` are measured.
+    of ``novel_spans`` are measured; a name in code of ``LETTERS_FROM`` letters
+    or more that is unlike any known one counts as a secret.
     """
 
     def start():
