@@ -14,7 +14,7 @@ from vellum.llm import secrets as s
 from vellum.llm.components import components
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.language import fit, language_id
-from vellum.llm.quality import jensen_shannon, quality_rules, repeated_words
+from vellum.llm.quality import COUNTERS, cut_down, distances, quality_rules, references, repeated_words
 from vellum.llm.simhash import Forest, fingerprint, links, near_duplicates, trie_links
 
 import numpy as np
@@ -178,19 +178,46 @@ def test_quality(spark):
         assert not (r.kept and r.base_failed)
     assert got[8].kept
     assert quality_rules(table(spark, ["x"]).limit(0)).count() == 0
+    assert distances(np.array([[1, 0], [2, 2], [0, 0]]), np.array([[0, 1], [1, 1], [1, 0]])).tolist() == [1, 0, 1]
+
+
+def test_repeated_words():
     assert repeated_words(list("abcdefabcdeg")) == 10
-    assert jensen_shannon(np.array([1, 0]), np.array([0, 1])) == 1 and jensen_shannon(np.array([2, 2]), np.array([1, 1])) == 0
+    rng = random.Random(6)
+    for size in (0, 4, 5, 6, 40, 500, 9000):
+        words = rng.choices("abc" if size < 100 else [f"w{k}" for k in range(30)], k=size)
+        windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        assert repeated_words(words) == len({k + j for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for j in range(5)})
+
+
+def test_summary_misses_no_common_word():
+    rng = random.Random(3)
+    words = rng.choices([f"w{k}" for k in range(400)], weights=[1 / (k + 1) for k in range(400)], k=20_000)
+    own = Counter()
+    for at in range(0, len(words), 500):
+        own = cut_down(own + Counter(words[at : at + 500]), 20)
+    assert len(own) <= 20
+    assert all(own[w] >= n - len(words) / 21 for w, n in Counter(words).items())
+
+
+def made_up(rng, letters, size=200):
+    """Prose of a language: half of it common words that its letters make."""
+    common = ["".join(letters[(k + j) % len(letters)] for j in range(2 + k % 2)) for k in range(20)]
+    return " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices(letters, k=6)) for _ in range(size)).capitalize() + "."
 
 
 def test_quality_tells_junk(spark):
     rng = random.Random(1)
-    common = "the of and to in a is that for it as was with be by on not he his but".split()
-    def prose():
-        return " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices("abcdefghilmnoprstu", k=6)) for _ in range(200)).capitalize() + "."
-
-    texts = [prose() for _ in range(30)] + [" ".join("".join(rng.choices("#$%&*<>|", k=5)) for _ in range(200))]
-    got = {r.doc_id: r.kept for r in quality_rules(table(spark, texts)).collect()}
-    assert all(got[i] for i in range(30)) and not got[30]
+    letters = ["abcdefghilm", "nopqrstuvwy", "kjhgfdsaqwz", "mnbvcxzlkjh", "qazwsxedcrf"]
+    rows = [(f"l{k % 5}", made_up(rng, letters[k % 5])) for k in range(150)]
+    junk = [("l0", " ".join("".join(rng.choices("#$%&*<>|", k=5)) for _ in range(200))), ("l1", " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(200))), (None, "ab " * 300)]
+    docs = spark.createDataFrame([(k, t, lang, "clash") for k, (lang, t) in enumerate(rows + junk)], "doc_id long, text string, lang string, n_words string").repartition(3)
+    got = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
+    assert all(got[k] for k in range(150)) and not any(got[k] for k in (150, 151, 152))
+    known = references(docs)
+    assert known.languages == [f"l{k}" for k in range(5)] and len(known.vocabularies[4]) >= 20
+    few = quality_rules(docs.filter("lang != 'l4' or doc_id < 60")).collect()  # 12 rows: too few for a reference of their own
+    assert not any(r.kept for r in few if r.doc_id % 5 == 4 and r.doc_id < 60)
 
 
 def brute_spans(text):

@@ -11,7 +11,7 @@ from vellum.llm.byte_windows import suffix_dedup
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.language import language_id
 from vellum.llm.packing import pack_documents
-from vellum.llm.quality import COMMON_WORDS, quality_rules
+from vellum.llm.quality import LANG_ROWS, LANG_SHARE, WORD_SHARE, quality_rules
 from vellum.llm.secrets import secret_scan
 from vellum.llm.simhash import near_duplicates
 from vellum.llm.token_counts import token_counts
@@ -42,7 +42,6 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": over_documents(near_duplicates),
 }
 
-VOCABULARY = ", ".join(f"('{lang}', '{word}')" for lang, words in COMMON_WORDS.items() for word in words.split())
 # Character classes as in the operator.
 CLASS_SQL = [r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?''\"()\-]", r"[#$%&*+/<=>@\[\\\]^_`{|}~]", r"[\x00-\x08\x0E-\x1F\x7F]", r"[^\x00-\x7F]"]
 CLASS_COUNTS = ", ".join(f"length(t) - length(regexp_replace(t, '{pattern}+', '', 'g'))" for pattern in CLASS_SQL)
@@ -68,21 +67,28 @@ QUALITY_SQL = rf"""
         SELECT s.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
                len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM split s LEFT JOIN repeats r USING (doc_id)
     ),
-    vocabulary(ref, word) AS (VALUES {VOCABULARY}),
-    chars AS (SELECT doc_id, lang, unnest([{CLASS_COUNTS}])::DOUBLE AS c, unnest(range(8)) AS k FROM docs),
-    char_refs AS (SELECT lang AS ref, k, sum(c) AS r, sum(sum(c)) OVER (PARTITION BY lang) AS ref_sum FROM chars WHERE lang IN (SELECT ref FROM vocabulary) GROUP BY lang, k),
+    checked AS (SELECT b.*, s.lang, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base b JOIN split s USING (doc_id)),
+    languages AS (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {LANG_ROWS} AND count(*) * {LANG_SHARE} >= (SELECT count(lang) FROM documents)),
+    learned AS (SELECT doc_id, lang AS ref FROM checked WHERE NOT base_failed AND lang IN (SELECT lang FROM languages)),
+    chars AS (SELECT doc_id, unnest([{CLASS_COUNTS}])::DOUBLE AS c, unnest(range(8)) AS k FROM docs),
+    char_refs AS (SELECT ref, k, sum(c) AS r, sum(sum(c)) OVER (PARTITION BY ref) AS ref_sum FROM chars JOIN learned USING (doc_id) GROUP BY ref, k),
     char_rows AS (SELECT doc_id, ref, c, r, ref_sum, sum(c) OVER (PARTITION BY doc_id, ref) AS doc_sum FROM chars JOIN char_refs USING (k)),
     by_char AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, ref, {distance_sql('c', 'r')} AS d FROM char_rows GROUP BY doc_id, ref) GROUP BY doc_id),
     lowered AS (SELECT doc_id, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word, count(*) AS c FROM words GROUP BY ALL),
-    known AS (SELECT d.doc_id, d.lang, v.ref, v.word, coalesce(l.c, 0)::DOUBLE AS c FROM docs d CROSS JOIN vocabulary v LEFT JOIN lowered l ON l.doc_id = d.doc_id AND l.word = v.word),
-    others AS (SELECT k.doc_id, any_value(k.lang) AS lang, k.ref, '' AS word, any_value(b.n_words) - sum(k.c) AS c FROM known k JOIN base b USING (doc_id) GROUP BY k.doc_id, k.ref),
-    grid AS (SELECT * FROM known UNION ALL SELECT * FROM others),
-    word_refs AS (SELECT ref, word, sum(c) AS r, sum(sum(c)) OVER (PARTITION BY ref) AS ref_sum FROM grid WHERE lang = ref GROUP BY ref, word),
-    word_rows AS (SELECT doc_id, ref, c, r, ref_sum, sum(c) OVER (PARTITION BY doc_id, ref) AS doc_sum FROM grid JOIN word_refs USING (ref, word)),
-    by_word AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, ref, {distance_sql('c', 'r')} AS d FROM word_rows GROUP BY doc_id, ref) GROUP BY doc_id),
-    judged AS (SELECT b.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, c.d AS cd, w.d AS wd FROM base b JOIN by_char c USING (doc_id) JOIN by_word w USING (doc_id))
+    totals AS (SELECT ref, sum(n_words)::DOUBLE AS ref_sum FROM learned JOIN base USING (doc_id) GROUP BY ref),
+    vocabulary AS (
+        SELECT ref, word, sum(c)::DOUBLE AS r, any_value(ref_sum) AS ref_sum FROM lowered JOIN learned USING (doc_id) JOIN totals USING (ref)
+        WHERE regexp_matches(word, '[a-z]|[^\x00-\x7F]') GROUP BY ref, word HAVING sum(c) * {WORD_SHARE} >= any_value(ref_sum)
+    ),
+    word_refs AS (SELECT * FROM vocabulary UNION ALL SELECT ref, '' AS word, any_value(ref_sum) - sum(r) AS r, any_value(ref_sum) AS ref_sum FROM vocabulary GROUP BY ref),
+    without AS (SELECT ref, {distance_sql('c', 'r')} AS most FROM (SELECT ref, r, ref_sum, CASE WHEN word = '' THEN 1.0 ELSE 0.0 END AS c, 1.0 AS doc_sum FROM word_refs) GROUP BY ref),
+    known AS (SELECT b.doc_id, b.n_words, v.ref, v.word, v.r, v.ref_sum, coalesce(l.c, 0)::DOUBLE AS c FROM base b CROSS JOIN vocabulary v LEFT JOIN lowered l ON l.doc_id = b.doc_id AND l.word = v.word),
+    others AS (SELECT k.doc_id, k.ref, any_value(k.ref_sum) - sum(k.r) AS r, any_value(k.ref_sum) AS ref_sum, any_value(k.n_words) - sum(k.c) AS c, any_value(k.n_words)::DOUBLE AS doc_sum FROM known k GROUP BY k.doc_id, k.ref),
+    word_rows AS (SELECT doc_id, ref, c, r, ref_sum, n_words::DOUBLE AS doc_sum FROM known UNION ALL SELECT doc_id, ref, c, r, ref_sum, doc_sum FROM others),
+    by_word AS (SELECT doc_id, min(d / most) AS d FROM (SELECT doc_id, ref, {distance_sql('c', 'r')} AS d FROM word_rows GROUP BY doc_id, ref) JOIN without USING (ref) WHERE most > 0 GROUP BY doc_id),
+    judged AS (SELECT b.*, coalesce(c.d, 0) AS cd, coalesce(w.d, 0) AS wd FROM checked b LEFT JOIN by_char c USING (doc_id) LEFT JOIN by_word w USING (doc_id))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND NOT (word_chars >= 200 AND cd > 0.30) AND NOT (n_words >= 60 AND wd > 0.33) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM judged
+           NOT base_failed AND NOT (word_chars >= 200 AND cd > 0.30) AND NOT (n_words >= 60 AND wd > 0.85) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM judged
 """
 
 ORACLE_SQL: dict[str, str] = {
