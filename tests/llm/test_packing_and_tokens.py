@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from array import array
 
@@ -89,6 +90,12 @@ def test_bpe_tables(spark):
     docs = rows(spark)
     got = {r.doc_id: r for r in bpe_digests(docs).collect()}
     assert got[0].n_tokens == 0 and got[7].n_tokens == 0 and got[7].ids_sha256 == got[0].ids_sha256
+    for r in docs.collect():
+        ids = LIBRARY.encode(r.text or "", add_special_tokens=False).ids
+        decoded = LIBRARY.decode(ids, skip_special_tokens=False)
+        own = got[r.doc_id]
+        assert own.n_tokens == len(ids) and own.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert own.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
     back = {r.doc_id: r.text for r in bpe_decode(bpe_encode(docs)).collect()}
     assert all(back[r.doc_id] == (r.text or "") for r in docs.collect())
 
@@ -103,14 +110,23 @@ def test_counts(spark):
         assert r.docs_at_most == sum(x <= n for x in lengths) and r.tokens_at_most == sum(x for x in lengths if x <= n)
         assert r.docs_longer == sum(x > n for x in lengths) and r.tokens_longer == sum(x for x in lengths if x > n)
         assert r.truncated_total == sum(min(x, n) for x in lengths)
-    for limit in (0, 5, 17, 10_000):
+    for limit in (0, 1, 5, 17, *lengths, 10_000):
         found = truncated_total(table, limit).first()
         assert (found.tokens_kept, found.docs_cut) == (sum(min(x, limit) for x in lengths), sum(x > limit for x in lengths))
     assert quantile(table, 0.5).first().n_tokens == sorted(lengths)[(len(lengths) - 1) // 2]
-    assert token_counts(docs.limit(0)).count() == 0
+    empty = token_counts(docs.limit(0))
+    assert empty.count() == 0 and tuple(truncated_total(empty, 5).first()) == (0, 0)
+    long_only = token_counts(docs.filter("doc_id = 5"))
+    assert tuple(truncated_total(long_only, 3).first()) == (3, 1)
 
 
 def test_null_ids_do_not_share_a_group(spark):
     docs = spark.createDataFrame([(None, f"cat {k}") for k in range(40)], "doc_id long, text string")
     out = packing.pack_documents(docs, capacity=1000, group_docs=5).collect()
     assert len(out) == 40 and len({r.sequence_id for r in out}) >= 5
+
+
+def test_words_that_do_not_end_go_to_the_library():
+    words = packing.WordIds(WORD)
+    words.ends[:] = False
+    assert np.frombuffer(words.encode("the cat sat"), "<u4").tolist() == WORD_LIBRARY.encode("the cat sat", add_special_tokens=False).ids

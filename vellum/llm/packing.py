@@ -63,17 +63,20 @@ class WordIds:
         if None in found:
             if len(self.known) >= CACHED_PARTS:
                 self.known.clear()
-            self.learn(list(set(parts).difference(self.known)))
+            if not self.learn(list(set(parts).difference(self.known))):
+                return self.whole(text)
             found = [self.known[p] for p in parts]
         return b"".join(found)
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str]) -> bool:
+        """Remember the ids of new pre-tokens; false if the library does not end one word for each of them."""
         ids = np.array(self.model.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(cuts) != len(new):
-            raise ValueError("pre-tokens and word ends do not agree")
+            return False
         packed = ids.tobytes()
         self.known.update({p: packed[4 * a : 4 * b] for p, a, b in zip(new, [0, *cuts], cuts, strict=False)})
+        return True
 
 
 LOADED: dict[str, WordIds] = {}

@@ -64,11 +64,15 @@ def token_counts(docs: DataFrame, *, text_col: str = "text", path: str | None =
 
 
 def truncated_total(histogram: DataFrame, limit: int) -> DataFrame:
-    """Tokens that are left, and documents that are cut, at one context limit."""
-    return histogram.agg(
-        F.coalesce(F.sum(F.least("n_tokens", F.lit(limit)) * F.col("n_docs")), F.lit(0)).alias("tokens_kept"),
-        F.coalesce(F.sum(F.when(F.col("n_tokens") > limit, F.col("n_docs"))), F.lit(0)).alias("docs_cut"),
-    )
+    """Tokens that are left, and documents that are cut, at one context limit.
+
+    Both are read from the suffix sums of the greatest length at or below the
+    limit; if every document is longer, each keeps ``limit`` tokens.
+    """
+    sums = F.max_by(F.struct("tokens_at_most", "docs_longer"), F.when(F.col("n_tokens") <= limit, F.col("n_tokens"))).alias("at")
+    row = histogram.agg(sums, F.coalesce(F.max("docs_at_most"), F.lit(0)).alias("all_docs"))
+    longer = F.coalesce("at.docs_longer", "all_docs")
+    return row.select((F.coalesce("at.tokens_at_most", F.lit(0)) + longer * limit).alias("tokens_kept"), longer.alias("docs_cut"))
 
 
 def quantile(histogram: DataFrame, share: float) -> DataFrame:
