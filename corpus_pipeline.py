@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut
+from vellum.llm.common import cut, join_by_size
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.language import fit, keep_identified
 from vellum.llm.packing import pack_documents
@@ -17,6 +17,8 @@ ORACLE_SQL = None
 
 #: A column that no table of documents has.
 ROW = "_row"
+#: Keys of dropped rows that are broadcast at most, 8 bytes each.
+BROADCAST_ROWS = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,15 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def kept_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    return docs.join(rows, ROW, "left_semi").drop(ROW)
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose key is not among the dropped ones.
+
+    Only keys decide. So long as few are dropped they are broadcast, and no text
+    is shuffled; beyond ``BROADCAST_ROWS`` both sides meet in a shuffle.
+    """
+    keys = cut(dropped)
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(keys) if few else keys, ROW, "left_anti").drop(ROW)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +50,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     keyed = with_row_key(docs)
     verdicts = exact_dedup(keyed.withColumn("_id", F.struct("doc_id", ROW)), id_col="_id")
-    return kept_rows(keyed, verdicts.filter("kept").select(f"doc_id.{ROW}"))
+    return without_rows(keyed, verdicts.filter(~F.col("kept")).select(f"doc_id.{ROW}"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +61,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     keyed = with_row_key(docs)
     groups = near_duplicates(keyed, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id").join(keyed.select(ROW, "doc_id"), ROW)
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first"))
-    return kept_rows(keyed, first.select(f"first.{ROW}"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    groups = cut(groups.select("component_id", ROW, place.alias("place")))
+    first = cut(groups.groupBy("component_id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size")))
+    rest = join_by_size(groups, first, ["component_id"], "size").filter(F.col(ROW) != F.col(f"first.{ROW}"))
+    return without_rows(keyed, rest.select(ROW))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
