@@ -417,3 +417,11 @@ def test_secrets_in_long_texts(text):
 @pytest.mark.parametrize("text", ["the session Geschwindigkeitsbegrenzungen und", "a credential administrativementconstitutionnellement x", "password: correct horse battery", "token internationalization"])
 def test_prose_is_no_secret(text):
     assert s.scanner()(text) == ([], [])
+
+
+def test_pipeline_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("corpus_pipeline.BROADCAST_ROWS", 0)
+    a, b, c = unlike(3)
+    exact, near = after_dedup(spark, [(None, a), (7, b), (3, b), (4, c), (None, c)])
+    assert (exact, near) == ([0, 1, 3], [0, 2, 3])
+    assert after_dedup(spark, []) == [[], []]
