@@ -104,3 +104,11 @@ def test_anchored_windows(spark):
     df = spark.createDataFrame([(i, "k" if i < 6 else "other", T0 + timedelta(seconds=s)) for i, s in enumerate([*at, 5])], "event_id long, user_id string, ts timestamp")
     got = {r.event_id: (r.attempt, r.allowed) for r in anchored_windows(df, key="user_id", at="ts", order="event_id", window=timedelta(seconds=60), most=2).collect()}
     assert got == {0: (1, True), 1: (2, True), 2: (3, False), 3: (1, True), 4: (2, True), 5: (1, True), 6: (1, True)}
+
+
+def test_anchored_windows_without_time_or_order(spark):
+    rows = [(1, "k", T0), (None, "k", T0 + timedelta(seconds=5)), (3, "k", None), (4, None, T0), (5, None, None)]
+    df = spark.createDataFrame(rows, "event_id long, user_id string, ts timestamp")
+    got = {(r.event_id, r.attempt, r.allowed) for r in anchored_windows(df, key="user_id", at="ts", order="event_id", window=timedelta(seconds=60), most=1).collect()}
+    assert got == {(1, 1, True), (None, 2, False), (3, None, None), (4, 1, True), (5, None, None)}
+    assert anchored_windows(df.limit(0), key="user_id", at="ts", order="event_id", window=timedelta(seconds=60), most=1).count() == 0

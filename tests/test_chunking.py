@@ -4,8 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vellum.operators.chunking import Limits, TooManyChunksError, chunk_quality, chunk_sections, chunk_texts, document_chunks, empty_documents, section_spans
-from vellum.operators.segmentation import blocks, lines_in, safe_cut, sentences_in, words_in
+from vellum.operators.chunking import Limits, TooManyChunksError, chunk_quality, chunk_results, chunk_sections, chunk_texts, document_chunks, empty_documents, section_spans, single_sections
+from vellum.operators.segmentation import blocks, line_spans, lines_in, safe_cut, sentence_spans, sentences_in, word_spans, words_in
 
 LIMITS = Limits(most=60, overlap=20, least=8)
 
@@ -95,3 +95,23 @@ def test_tables(spark):
     quality = chunk_quality(chunks, df).first()
     assert quality.size_compliance == 1 and quality.slice_integrity == 1 and quality.coverage > 0.98
     assert [r.document_id for r in empty_documents(spark.createDataFrame([(5, "", None), (6, "x", None)], "document_id long, text string, heading string")).collect()] == [5]
+
+
+@pytest.mark.parametrize(("table", "python"), [(line_spans, lines_in), (sentence_spans, sentences_in), (word_spans, words_in)])
+def test_span_tables(spark, table, python):
+    odd = ["", " ", "a\x01b. c\x01\nd", "one\xa0two\u2003three.\u2003Four", "End.\x85Next!\x1c(x) \u2028y", "no end", "Wait...) Then?\u201d 3.5 tons.\n\n  z", "\n\n", "\U0001f600 emoji. \U0001f600\tb", "!!! ??? ", "." * 3000, "\x0bv\x0cf"]
+    rng = random.Random(4)
+    odd += ["".join(rng.choices("ab.!?)\"\u201d \n\t\xa0\x01\u0964\U0001f600", k=60)) for _ in range(40)]
+    docs = spark.createDataFrame([*enumerate(odd), (99, None)], "doc_id long, text string")
+    got = {}
+    for r in table(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert {k: sorted(v) for k, v in got.items()} == {k: spans for k, t in enumerate(odd) if (spans := python(t, 0, len(t)))}
+
+
+def test_too_many_chunks_stop_no_job(spark):
+    df = spark.createDataFrame([(1, "a b c d " * 50), (2, "short"), (3, None)], "doc_id long, text string")
+    limits = Limits(most=20, overlap=0, least=2, chunks=2)
+    rows = chunk_results(single_sections(df), limits).collect()
+    assert [(r.document_id, r.failure_reason) for r in rows if r.failure_reason] == [(1, "too_many_chunks")]
+    assert {r.document_id for r in chunk_texts(df, limits).collect()} == {2}

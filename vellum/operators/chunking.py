@@ -126,36 +126,59 @@ def document_chunks(sections: list[dict], limits: Limits, size: Measure = charac
 SECTION_FIELDS = ("ordinal", "text", "heading", "heading_level", "page_number", "paragraph_mode", "markdown")
 
 
+FIELD_KINDS = {"heading": "string", "heading_level": "int", "page_number": "int", "paragraph_mode": "string", "markdown": "boolean"}
+
+
+def gathered_sections(sections: DataFrame) -> DataFrame:
+    """``document_id, sections`` with a document's sections in one row, in order; fields that are not there are null."""
+    have = [F.col(f) if f in sections.columns else F.lit(None).cast(FIELD_KINDS[f]) for f in SECTION_FIELDS]
+    own = sections.select("document_id", F.struct(*[h.alias(f) for h, f in zip(have, SECTION_FIELDS, strict=True)]).alias("s"))
+    return own.groupBy("document_id").agg(F.array_sort(F.collect_list("s")).alias("sections"))
+
+
 def chunk_sections(sections: DataFrame, limits: Limits | None = None, *, size: Measure = characters) -> DataFrame:
     """Chunks of ``document_id`` and the section fields, one document at a time.
 
     Sections are gathered into one row for each document before Python sees
     them, so no document is spread over tasks; its size is that of its text.
     """
-    limits = limits or Limits()
-    have = [F.col(f) if f in sections.columns else F.lit(None).cast({"heading": "string", "heading_level": "int", "page_number": "int", "paragraph_mode": "string", "markdown": "boolean"}[f]) for f in SECTION_FIELDS]
-    own = sections.select("document_id", F.struct(*[h.alias(f) for h, f in zip(have, SECTION_FIELDS, strict=True)]).alias("s"))
-    return chunk_documents(own.groupBy("document_id").agg(F.array_sort(F.collect_list("s")).alias("sections")), limits, size=size)
+    return chunk_documents(gathered_sections(sections), limits or Limits(), size=size)
+
+
+def single_sections(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents of one plain-text section each, as ``document_id, sections``."""
+    section = F.struct(F.lit(0).alias("ordinal"), F.col(text_col).alias("text"), *[F.lit(None).cast(t).alias(f) for f, t in FIELD_KINDS.items()])
+    return docs.select(F.col(id_col).alias("document_id"), F.array(section).alias("sections"))
 
 
 def chunk_texts(docs: DataFrame, limits: Limits | None = None, *, id_col: str = "doc_id", text_col: str = "text", size: Measure = characters) -> DataFrame:
     """T7 for documents of one plain-text section each; needs no shuffle."""
-    section = F.struct(F.lit(0).alias("ordinal"), F.col(text_col).alias("text"), *[F.lit(None).cast(t).alias(f) for f, t in (("heading", "string"), ("heading_level", "int"), ("page_number", "int"), ("paragraph_mode", "string"), ("markdown", "boolean"))])
-    return chunk_documents(docs.select(F.col(id_col).alias("document_id"), F.array(section).alias("sections")), limits or Limits(), size=size)
+    return chunk_documents(single_sections(docs, id_col=id_col, text_col=text_col), limits or Limits(), size=size)
 
 
 def chunk_documents(documents: DataFrame, limits: Limits, *, size: Measure = characters) -> DataFrame:
-    """Chunks of ``document_id, sections array<struct>``."""
-    columns = [c.split()[0] for c in CHUNK.split(", ")]
+    """Chunks of ``document_id, sections array<struct>``; a document beyond the limit has none (see ``chunk_results``)."""
+    return chunk_results(documents, limits, size=size).filter("failure_reason is null").drop("failure_reason")
+
+
+def chunk_results(documents: DataFrame, limits: Limits, *, size: Measure = characters) -> DataFrame:
+    """Chunks, and a row with a ``failure_reason`` for each document that has too many of them, so that none stops a job."""
+    columns = [*(c.split()[0] for c in CHUNK.split(", ")), "failure_reason"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()]
+
+    def of(document: int, own: list[dict]) -> list[tuple]:
+        try:
+            return [(document, *chunk, None) for chunk in document_chunks(own, limits, size)]
+        except TooManyChunksError:
+            return [(document, *[None] * (len(columns) - 2), "too_many_chunks")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *chunk) for i, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for chunk in document_chunks(own or [], limits, size)]
+            rows = [row for i, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in of(i, own or [])]
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=columns)
 
-    return documents.select(F.col("document_id").cast("bigint"), "sections").mapInArrow(run, CHUNK)
+    return documents.select(F.col("document_id").cast("bigint"), "sections").mapInArrow(run, CHUNK + ", failure_reason string")
 
 
 def normalise_sections(sections: DataFrame, *, collapse: str = "collapse") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.statistics import bootstrap_ci, floor_rank, nearest_rank, rate, wilson
+from vellum.functions.statistics import bootstrap_ci, floor_rank, rate, wilson
+from vellum.operators.staging import staged
 
 METRICS = ("recall_at_1", "recall_at_3", "recall_at_5", "recall_at_10", "mrr_at_10", "ndcg_at_10")
 LATENCY_RATIO, LATENCY_MS, TOLERANCE, FALLBACK = 1.5, 5.0, 0.005, 0.10
@@ -51,13 +52,17 @@ def arm_summary(scores: DataFrame, categories: DataFrame | None = None) -> DataF
 
 
 def mean_intervals(scores: DataFrame, metric: str) -> DataFrame:
-    """Bootstrap interval of a metric for each arm; values in the order of the query ids."""
+    """Bootstrap interval of a metric for each arm; values in the order of the query ids.
+
+    The interval depends on that order, so an arm's values meet in one row: a
+    number for each evaluation question, and none for each document.
+    """
     rows = scores.groupBy("arm").agg(F.transform(F.array_sort(F.collect_list(F.struct("query_id", metric))), lambda r: r[metric]).alias("values"))
     return rows.select("arm", bootstrap_ci("values").alias("ci")).select("arm", "ci.low", "ci.high")
 
 
 def paired_delta(scores: DataFrame, baseline: str, candidate: str, metric: str) -> DataFrame:
-    """Mean change from one arm to another over the same queries, and its interval."""
+    """Mean change from one arm to another over the same queries, and its interval; one number a question meets in a row."""
     a = scores.filter(F.col("arm") == baseline).select("query_id", F.col(metric).alias("a"))
     b = scores.filter(F.col("arm") == candidate).select("query_id", F.col(metric).alias("b"))
     rows = a.join(b, "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("query_id", (F.col("b") - F.col("a")).alias("d")))), lambda r: r["d"]).alias("d"), F.round(F.avg(F.col("b") - F.col("a")), 4).alias("delta"))
@@ -77,15 +82,32 @@ def candidate_recall(rankings: DataFrame, relevant: DataFrame, depth: int, neutr
     return rows.groupBy("arm").agg(F.lit(depth).alias("depth"), F.count(F.lit(1)).alias("questions"), rate(any_hit, F.count(F.lit(1)), 4).alias("any_relevant"), F.round(F.avg(F.col("h") / F.col("n")), 4).alias("mean_recall"), wilson(any_hit, F.count(F.lit(1))).alias("ci"))
 
 
+def with_below(levels: DataFrame, by: list[str], order: str, amount: str) -> DataFrame:
+    """Add ``below``: the sum of ``amount`` over rows of the same ``by`` with a smaller ``order``.
+
+    ``levels`` has a row for each value. Values are dealt out in ranges, summed
+    by range and the ranges' sums run up, so no task holds a whole group.
+    """
+    placed = staged(levels.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()))
+    sums = placed.groupBy(*by, "_range").agg(F.sum(amount).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_range").alias("_of"), before.alias("_before"))
+    same = F.col("_range") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    within = F.coalesce(F.sum(amount).over(Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(starts, same).withColumn("below", F.col("_before") + within).select(*levels.columns, "below")
+
+
 def auroc(scores: DataFrame) -> DataFrame:
     """Of ``score, positive``: the chance that a positive scores above a negative, ties half; null if a side is empty.
 
     By rank sums over distinct scores, so equal scores are one row and nothing
-    is crossed.
+    is crossed. Rows with a null on either side are left out.
     """
-    levels = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = levels.withColumn("won", F.col("p") * (below + F.col("n") / 2.0))
+    known = scores.filter(F.col("score").isNotNull() & F.col("positive").isNotNull())
+    levels = known.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    won = with_below(levels, [], "score", "n").withColumn("won", F.col("p") * (F.col("below") + F.col("n") / 2.0))
     return won.agg(F.try_divide(F.sum("won"), (F.sum("p") * F.sum("n")).cast("double")).alias("auroc"))
 
 
@@ -118,9 +140,25 @@ def failures(rankings: DataFrame, relevant: DataFrame, neutral: DataFrame | None
 
 
 def latency_summary(times: DataFrame, by: str, value: str) -> DataFrame:
-    """Count, median, nearest-rank p95, maximum, and p99 from 100 values on."""
-    rows = times.filter(F.col(value).isNotNull()).groupBy(by).agg(F.collect_list(value).alias("v"), F.median(value).alias("median"), F.max(value).alias("max"))
-    return rows.select(by, F.size("v").alias("n"), F.round("median", 2).alias("median"), F.round(nearest_rank(F.col("v"), 0.95), 2).alias("p95"), F.round("max", 2).alias("max"), F.when(F.size("v") >= 100, F.round(nearest_rank(F.col("v"), 0.99), 2)).alias("p99"))
+    """Count, median, nearest-rank p95, maximum, and p99 from 100 values on; null values are left out.
+
+    Ranks are found among counted values (``with_below``), so a group may have
+    any number of rows.
+    """
+    levels = times.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("by"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("times"))
+    ranked = with_below(levels, ["by"], "value", "times")
+    sizes = levels.groupBy(F.col("by").alias("of")).agg(F.sum("times").alias("n"))
+    rows = ranked.join(sizes, F.col("by").eqNullSafe(F.col("of")))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("below") < rank) & (rank <= F.col("below") + F.col("times")), F.col("value")))
+
+    def nearest(share: float) -> Column:
+        return at(F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(share))))
+
+    middle = (at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2
+    out = rows.groupBy(F.col("by").alias(by)).agg(F.max("n").alias("n"), middle.alias("median"), nearest(0.95).alias("p95"), F.max("value").alias("max"), nearest(0.99).alias("p99"))
+    return out.select(by, F.col("n").cast("int").alias("n"), *[F.round(c, 2).alias(c) for c in ("median", "p95", "max")], F.when(F.col("n") >= 100, F.round("p99", 2)).alias("p99"))
 
 
 def answer_summary(results: DataFrame, by: str | None = None) -> DataFrame:

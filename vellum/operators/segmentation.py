@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-# A run of terminators is read once: it can't start after another of them.
+# Terminators of a sentence, closing quotes and brackets that may follow them.
 SENTENCE_END = re.compile("(?<![.!?\u0964\u0965\u2026])[.!?\u0964\u0965\u2026]++[\"')\\]\u201d\u2019\u00bb]*+(?=\\s)")
 MOST_CLUSTER = 64
 Span = tuple[int, int]
@@ -94,31 +94,36 @@ def blocks(text: str, mode: str = "blank_line", markdown: bool = False) -> list[
     return [(a, b, "para" if kind == "table" and "\n" not in text[a:b] else kind) for a, b, kind in out]
 
 
-def piece_spans(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
-    """``<id>, start, end`` of the trimmed pieces of each text, cut after every match of ``pattern``.
+#: White space as ``str.isspace`` has it, and what is not.
+BLANK, INK = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
 
-    A mark is put behind each match and the text split there, so all of it stays
-    in the JVM; offsets are running sums of the pieces' lengths. Ids are unique.
+
+def piece_spans(docs: DataFrame, pieces: Column, id_col: str) -> DataFrame:
+    """``<id>, start, end`` of the trimmed pieces of each text.
+
+    ``pieces`` is an array that gives the text when joined, so offsets are
+    running sums of the pieces' lengths and all of it stays in the JVM. Ids are
+    unique. A null text has no pieces.
     """
-    marked = F.split(F.regexp_replace(text_col, pattern, "$1\x01"), "\x01")
-    pieces = docs.select(id_col, F.posexplode(marked).alias("pos", "piece"))
+    rows = docs.select(id_col, F.posexplode(pieces).alias("pos", "piece"))
     before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("base", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)))
-    left = F.length("piece") - F.length(F.regexp_replace("piece", r"^\s+", ""))
-    inner = F.regexp_replace("piece", r"^\s+|\s+$", "")
-    return placed.filter(inner != "").select(id_col, (F.col("base") + left).alias("start"), (F.col("base") + left + F.length(inner)).alias("end"))
+    placed = rows.withColumn("base", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)))
+    left = F.length("piece") - F.length(F.regexp_replace("piece", f"(?U)^{BLANK}+", ""))
+    inner = F.length(F.regexp_replace("piece", f"(?U)^{BLANK}+|{BLANK}+$", ""))
+    return placed.filter(inner > 0).select(id_col, (F.col("base") + left).alias("start"), (F.col("base") + left + inner).alias("end"))
 
 
 def line_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """T3 over a table."""
-    return piece_spans(docs, "(\n)", id_col, text_col)
+    return piece_spans(docs, F.split(text_col, "(?<=\n)"), id_col)
 
 
 def sentence_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """T4 over a table."""
-    return piece_spans(docs, "(?<![.!?\u0964\u0965\u2026])([.!?\u0964\u0965\u2026]++[\"')\\]\u201d\u2019\u00bb]*+)(?=\\s)", id_col, text_col)
+    end = "(?<![.!?\u0964\u0965\u2026])[.!?\u0964\u0965\u2026]++[\"')\\]\u201d\u2019\u00bb]*+"
+    return piece_spans(docs, F.regexp_extract_all(text_col, F.lit(f"(?Us).*?{end}(?={BLANK})|.+"), F.lit(0)), id_col)
 
 
 def word_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """T5 over a table."""
-    return piece_spans(docs, r"(\s+)", id_col, text_col)
+    return piece_spans(docs, F.regexp_extract_all(text_col, F.lit(f"(?U){BLANK}*{INK}+|{BLANK}+"), F.lit(0)), id_col)

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def staged(rows: DataFrame) -> DataFrame:
-    """Materialise rows in the cluster's ``spark.checkpoint.dir``; a folder of its own only where none is set."""
+    """Materialise rows in the cluster's ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets a temporary folder; a cluster, whose
+    machines would not share one, gets an error.
+    """
     spark = rows.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-"))
     return rows.checkpoint()

@@ -10,6 +10,8 @@ from vellum.sources.tables import read_table
 
 DIMENSION = 384
 TENANT = "all"
+#: Lines that a text can have at most, as an array can; an id below 2**32 leaves room for them.
+LINES = 1 << 31
 
 
 #: Tables whose rows take work to process, and that are spread over the cores if small.
@@ -37,7 +39,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines; the id holds document and line number."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines(F.col("text"))).alias("pos", "text")).filter(F.col("text") != "")
-    return rows.select((F.col("doc_id") * 1_000_000 + F.col("pos") + 1).alias("chunk_id"), F.col("doc_id").alias("document_id"), F.lit(TENANT).alias("user_id"), "text")
+    return rows.select((F.col("doc_id") * LINES + F.col("pos") + 1).alias("chunk_id"), F.col("doc_id").alias("document_id"), F.lit(TENANT).alias("user_id"), "text")
 
 
 def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,18 +66,18 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth test vector as a query."""
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("user_id"), "embedding")
+    """Every test vector whose id is divisible by 20 as a query."""
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("user_id"), "embedding")
 
 
 #: Common tables of the queries' SQL.
 TOKENS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}]+')"
-LINES_SQL = r"""
+LINES_SQL = rf"""
 lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
 ),
 passages AS (
-    SELECT doc_id * 1000000 + pos AS chunk_id, doc_id AS document_id, regexp_replace(line, '^\s+|\s+$', '', 'g') AS text
+    SELECT doc_id * {LINES} + pos AS chunk_id, doc_id AS document_id, regexp_replace(line, '^\s+|\s+$', '', 'g') AS text
     FROM lines WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> ''
 ),
 ready AS (

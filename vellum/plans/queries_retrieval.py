@@ -199,7 +199,7 @@ def cosine_sql(name: str, where: str, k: int, part: str = "{0}") -> str:
     SELECT * FROM (
         SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM (
             SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity({a}, {b}) AS score
-            FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 AND {where}
+            FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND {where}
         )
     ) WHERE rank <= {k}
 )"""

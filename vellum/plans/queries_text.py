@@ -112,12 +112,16 @@ def cut_sql(flat: str, limit: int, least: int) -> str:
     return f"CASE WHEN length({flat}) <= {limit} THEN {flat} ELSE rtrim(CASE WHEN {back} > 0 AND {limit} - {back} >= {least} THEN left({head}, {limit} - {back}) ELSE {head} END) || '…' END"
 
 
+#: White space of any script.
+BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
 def spans_sql(pattern: str, replacement: str) -> str:
     return rf"""
         WITH cut AS (SELECT doc_id, string_split(regexp_replace(text, '{pattern}', {replacement}, 'g'), chr(1)) AS p FROM documents),
         pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS pos FROM cut),
         placed AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-                   + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS start, length(regexp_replace(piece, '^\s+|\s+$', '', 'g')) AS size FROM pieces)
+                   + length(piece) - length(regexp_replace(piece, '^{BLANK}+', '')) AS start, length(regexp_replace(piece, '^{BLANK}+|{BLANK}+$', '', 'g')) AS size FROM pieces)
         SELECT doc_id, start::BIGINT AS start, (start + size)::BIGINT AS "end" FROM placed WHERE size > 0"""
 
 
@@ -126,7 +130,7 @@ OUTER = r"""[.,;:!?()\[\]"''।]+"""
 
 def content_sql(text: str) -> str:
     words = rf"string_split(trim(regexp_replace({text}, '\s+', ' ', 'g')), ' ')"
-    bare = rf"list_transform({words}, lambda w: lower(regexp_replace(w, '^{OUTER}|{OUTER}$', '', 'g')))"
+    bare = rf"list_transform({words}, lambda w: replace(replace(lower(regexp_replace(w, '^{OUTER}|{OUTER}$', '', 'g')), 'ς', 'σ'), 'ß', 'ss'))"
     return rf"list_distinct(list_filter({bare}, lambda w: length(w) >= CASE WHEN regexp_matches(w, '[^\x00-\x7F]') THEN 3 ELSE 4 END))"
 
 
@@ -157,8 +161,8 @@ ORACLE_SQL = {
     "tokens": value_sql(f"len({c.TOKENS_SQL.format('text')})::INT"),
     "content_tokens": f"SELECT doc_id, array_to_string(list_sort({content_sql('text')}), ' ') AS words FROM documents",
     "line_spans": spans_sql("(\\n)", "'\\1' || chr(1)"),
-    "sentence_spans": spans_sql(r"""([.!?।॥…]+["'')\]”’»]*)(\s)""", r"'\1' || chr(1) || '\2'"),
-    "word_spans": spans_sql(r"(\s+)", r"'\1' || chr(1)"),
+    "sentence_spans": spans_sql(rf"""([.!?।॥…]+["'')\]”’»]*)({BLANK})""", r"'\1' || chr(1) || '\2'"),
+    "word_spans": spans_sql(rf"({BLANK}+)", r"'\1' || chr(1)"),
     "near_duplicates": rf"""
         WITH m AS (SELECT doc_id, {NORMAL} AS m, list_distinct({c.TOKENS_SQL.format(NORMAL)}) AS w FROM documents)
         SELECT a.doc_id AS left_id, b.doc_id AS right_id,

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from vellum.operators.chunking import Limits, chunk_texts
+from vellum.operators.chunking import Limits, chunk_results, chunk_texts, single_sections
+from vellum.operators.staging import staged
 from vellum.sources.sinks import replace_documents
 
 
@@ -46,5 +47,7 @@ def processed(documents: DataFrame, limits: Limits | None = None) -> tuple[DataF
     most = 20_000_000
     reason = F.when(F.col("text").isNull(), "corrupt_document").when(F.trim("text") == "", "empty_document").when(F.length("text") > most, "content_too_large")
     marked = documents.withColumn("failure_reason", reason)
-    good = marked.filter("failure_reason is null")
-    return chunk_texts(good, limits or Limits()), marked.filter("failure_reason is not null").select(F.col("doc_id").alias("document_id"), "failure_reason")
+    results = staged(chunk_results(single_sections(marked.filter("failure_reason is null")), limits or Limits()))
+    bad = marked.filter("failure_reason is not null").select(F.col("doc_id").alias("document_id"), "failure_reason")
+    failed = results.filter("failure_reason is not null").select("document_id", "failure_reason")
+    return results.filter("failure_reason is null").drop("failure_reason"), bad.unionByName(failed)
