@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(rows: DataFrame) -> DataFrame:
-    """Materialise rows in the cluster's ``spark.checkpoint.dir``.
+def with_shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``.
 
     Where none is set, a local session gets a temporary folder; a cluster, whose
     machines would not share one, gets an error.
     """
-    spark = rows.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local["):
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not sc.getCheckpointDir():
+        if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vellum-"))
+    return named or sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one."""
+    return f"{with_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """Materialise rows in the shared folder."""
+    with_shared_folder(rows.sparkSession)
     return rows.checkpoint()

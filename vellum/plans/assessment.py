@@ -44,7 +44,7 @@ def rag_results(questions: DataFrame, ranked: DataFrame, *, generator: str = "ex
     )
 
 
-def model_comparison(passages: DataFrame, questions: DataFrame, relevant: DataFrame, models: Sequence[tuple[str, str, int]], *, depth: int = 10) -> DataFrame:
+def model_comparison(passages: DataFrame, questions: DataFrame, relevant: DataFrame, models: Sequence[tuple[str, str, int]]) -> DataFrame:
     """C17: retrieval metrics of each ``(arm, embedder, dimension)`` over the same passages and questions.
 
     Only the ranks of relevant passages are needed for them, so each model is
@@ -57,7 +57,7 @@ def model_comparison(passages: DataFrame, questions: DataFrame, relevant: DataFr
         vectors = staged(embed(passages, model=model, dimension=dimension, prefix="passage: ", element="double").select("chunk_id", "embedding"))
         asked = embed(questions, text_col="query", model=model, dimension=dimension, prefix="query: ", element="double")
         found = ranks_of(vectors, asked, relevant.withColumnRenamed("key", "chunk_id"))
-        return found.filter(F.col("rank") <= depth).select(F.lit(name).alias("arm"), "query_id", F.col("chunk_id").alias("key"), "rank")
+        return found.select(F.lit(name).alias("arm"), "query_id", F.col("chunk_id").alias("key"), "rank")
 
     arms = reduce(DataFrame.unionByName, [arm(*m) for m in models])
     scores = e.per_query(staged(arms), relevant)

@@ -33,8 +33,8 @@ def content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(t.content_tokens(F.col("text"))), " ").alias("words"))
 
 
-def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against the one of the next id only, as its SQL has it; ``near_duplicate_groups`` is the test over the whole table."""
+def near_duplicate_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T23 applied to given pairs, here each document and the next; ``near_duplicate_groups`` finds all pairs of the table."""
     docs = documents(spark, sf_dir)
     return near_duplicate_pairs(docs, docs.select(F.col("doc_id").alias("left_id"), (F.col("doc_id") + 1).alias("right_id")))
 
@@ -94,7 +94,7 @@ QUERIES = {
     "line_spans": lambda spark, sf_dir: line_spans(documents(spark, sf_dir)),
     "sentence_spans": lambda spark, sf_dir: sentence_spans(documents(spark, sf_dir)),
     "word_spans": lambda spark, sf_dir: word_spans(documents(spark, sf_dir)),
-    "near_duplicates": near_duplicates,
+    "near_duplicate_test": near_duplicate_test,
     "near_duplicate_groups": near_duplicate_groups,
     "extractive_reader": extractive_reader,
     "context_pack": context_pack,
@@ -163,7 +163,7 @@ ORACLE_SQL = {
     "line_spans": spans_sql("(\\n)", "'\\1' || chr(1)"),
     "sentence_spans": spans_sql(rf"""([.!?।॥…]+["'')\]”’»]*)({BLANK})""", r"'\1' || chr(1) || '\2'"),
     "word_spans": spans_sql(rf"({BLANK}+)", r"'\1' || chr(1)"),
-    "near_duplicates": rf"""
+    "near_duplicate_test": rf"""
         WITH m AS (SELECT doc_id, {NORMAL} AS m, list_distinct({c.TOKENS_SQL.format(NORMAL)}) AS w FROM documents)
         SELECT a.doc_id AS left_id, b.doc_id AS right_id,
                a.m = b.m OR (length(a.m) >= 40 AND contains(b.m, a.m)) OR (length(b.m) >= 40 AND contains(a.m, b.m))
