@@ -54,12 +54,12 @@ def test_words(docs, window, period):
     assert {r.doc_id for r in got} == {*range(len(texts())), None}
 
 
-@pytest.mark.parametrize("hot", [500, 1])
+@pytest.mark.parametrize("hot", [100_000, 40, 1])
 @pytest.mark.parametrize("length", [200, 30])
 def test_bytes(docs, length, hot):
     raw = [(t or "").encode() for t in texts()] + [("null id " * 60).encode()]
     expected = sorted((len(s), sum(g), sum(x and not (k and g[k - 1]) for k, x in enumerate(g)), hashlib.sha256(bytes(b for b, x in zip(s, g) if not x)).hexdigest()) for s, g in zip(raw, removed(raw, length)))
-    got = suffix_dedup(docs, length=length, hot_chunks=hot).collect()
+    got = suffix_dedup(docs, length=length, hot_places=hot).collect()
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == expected
 
 

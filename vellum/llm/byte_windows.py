@@ -8,7 +8,7 @@ gram and travel as one segment, at the cost of one byte for each and
 ``length`` for all. A task sorts its suffixes up to the depth (``suffixes``)
 and compares neighbours, and answers with one bit for each.
 
-A gram in very many chunks would bring one task too many segments. Suffixes
+A gram that occurs very often would bring one task too many segments. Suffixes
 below such a gram are dealt one by one, by 96 bits of a digest of their whole
 prefix, and compared by it.
 """
@@ -29,8 +29,8 @@ from vellum.llm.common import cut, give_back, to_arrow
 from vellum.llm.suffixes import repeated_prefixes
 
 LENGTH = 200
-#: Chunks with a gram from which its suffixes are dealt one by one.
-HOT_CHUNKS = 500
+#: Occurrences of a gram from which its suffixes are dealt one by one; up to there, its segments take some 30 MB.
+HOT_PLACES = 100_000
 #: Bytes of segments that a bucket has on average, and that a task sorts at once.
 BUCKET_BYTES = 2 << 20
 SORTED_BYTES = 1 << 20
@@ -192,7 +192,7 @@ def sorted_segments(values: list[bytes], counts: list[int], grams: list[int], ag
     return out
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, hot_places: int = HOT_PLACES) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts elsewhere.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, a row for each
@@ -207,10 +207,10 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     of_segments = max(1, max(least, total // BUCKET_BYTES).bit_length())
 
     def gram_keys(number: int, chunk: Chunk) -> Iterator[tuple]:
-        high, low, _, _ = Minimizers(chunk, length, gram).keys()
-        yield from key_rows(number, high, low, of_grams)
+        high, _, times, _ = Minimizers(chunk, length, gram).keys()
+        yield from key_rows(number, high, times.astype(np.uint32), of_grams)
 
-    first = with_bits(chunks, repeated_bits(each_chunk(chunks, KEYS, gram_keys), hot=hot_chunks))
+    first = with_bits(chunks, repeated_bits(each_chunk(chunks, KEYS, gram_keys), hot=hot_places))
 
     def split(number: int, chunk: Chunk, bits: list[bytes] | None) -> Iterator[tuple]:
         """Results of documents without a repeated gram; the others stay as a smaller chunk with their runs."""

@@ -107,7 +107,9 @@ def key_rows(chunk: int, high: np.ndarray, low: np.ndarray, bits: int) -> Iterat
 def repeated_bits(keys: DataFrame, hot: int | None = None) -> DataFrame:
     """For each row of keys, a bit for each key: whether another chunk has it.
 
-    With ``hot``, as many bits follow that tell whether so many chunks have it.
+    With ``hot``, the low parts are not of the keys but say how often each
+    occurs in its chunk, and as many bits follow that tell whether it occurs so
+    often in all.
     """
     schema = to_arrow(BITS)
     record = 12
@@ -129,14 +131,22 @@ def bucket_bits(bodies: list[memoryview], record: int, hot: int | None) -> list[
     for raw, n, e in zip(bodies, sizes, ends.tolist(), strict=True):
         high[e - n : e] = np.cumsum(from_planes(raw[8 : 8 + 8 * n], np.dtype("<u8"), n), dtype=np.uint64) + np.frombuffer(raw[:8], "<u8")
         low[e - n : e] = from_planes(raw[8 + 8 * n :], np.dtype("<u4"), n)
-    order = np.lexsort((low, high)).astype(np.uint32)
+    order = (np.argsort(high) if hot is not None else np.lexsort((low, high))).astype(np.uint32)
     high, low = high[order], low[order]
-    new = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
-    del high, low
-    times = np.empty(len(order), np.uint32)
-    own = np.diff(new, append=len(order)).astype(np.uint32)
-    times[order] = np.repeat(own, own)
-    sets = [times > 1] if hot is None else [times > 1, times >= hot]
+    differ = high[1:] != high[:-1]
+    if hot is None:
+        differ |= low[1:] != low[:-1]
+    new = np.flatnonzero(np.concatenate([[True], differ]))
+    own = np.diff(new, append=len(order))
+
+    def spread(group: np.ndarray) -> np.ndarray:
+        out = np.empty(len(order), bool)
+        out[order] = np.repeat(group, own)
+        return out
+
+    sets = [spread(own > 1)]
+    if hot is not None:
+        sets.append(spread(np.add.reduceat(low.astype(np.uint64), new) >= hot))
     return [np.packbits(np.concatenate([x[e - n : e] for x in sets])).tobytes() for e, n in zip(ends.tolist(), sizes, strict=True)]
 
 
