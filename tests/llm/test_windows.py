@@ -63,6 +63,18 @@ def test_bytes(docs, length, hot):
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == expected
 
 
+def test_chunks_without_keys(spark):
+    """Each row is a chunk of its own; some have no gram, no hot gram, no anchor or no word at all."""
+    rows = ["", "short", None, "ab" * 300, "ab" * 300, "x y " * 60, " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(60))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartitionByRange(len(rows), "doc_id")
+    raw = [(t or "").encode() for t in rows]
+    expected = [sum(g) for g in removed(raw, 200)]
+    for hot in (100_000, 200, 1):
+        assert [r.n_removed for r in suffix_dedup(docs, hot_places=hot).sort("doc_id").collect()] == expected
+    words = [tuple(t.split()) for t in raw]
+    assert [r.n_removed for r in substring_dedup(docs).sort("doc_id").collect()] == [sum(g) for g in removed(words, 35)]
+
+
 def test_empty(docs):
     assert substring_dedup(docs.limit(0)).count() == 0
     assert suffix_dedup(docs.limit(0)).count() == 0

@@ -96,10 +96,10 @@ def distinct_keys(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def key_rows(chunk: int, high: np.ndarray, low: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes]]:
-    """Sorted distinct keys as rows of ``KEYS``."""
+    """Sorted distinct keys as rows of ``KEYS``; a chunk without keys has none."""
     bucket = (high >> np.uint64(64 - bits)).astype(np.int64)
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(high) else np.zeros(0, np.int64)
-    for a, b in zip(cuts, [*cuts[1:], len(high)], strict=True):
+    cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(high)] if len(high) else []
+    for a, b in zip(cuts, cuts[1:], strict=False):
         step = np.diff(high[a:b], prepend=high[a : a + 1])
         yield chunk, int(bucket[a]), np.array([high[a]], "<u8").tobytes() + planes(step) + planes(low[a:b])
 
