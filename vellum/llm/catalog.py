@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm.bpe import bpe_digests
 from vellum.llm.byte_windows import suffix_dedup
+from vellum.llm.cost_packing import pack_by_cost
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.language import language_id
 from vellum.llm.packing import pack_documents
@@ -40,6 +41,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": native_exact_dedup,
     "op9_language_id": over_documents(language_id),
     "op10_simhash": over_documents(near_duplicates),
+    "op11_cost_packing": over_documents(pack_by_cost),
 }
 
 # Character classes as in the operator.
