@@ -12,7 +12,8 @@ from vellum.llm import catalog
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     result = con.execute(catalog.ORACLE_SQL[name])
     theirs = pd.DataFrame(result.fetchall(), columns=[c[0] for c in result.description], dtype=object)
     own = catalog.QUERIES[name](spark, SF)

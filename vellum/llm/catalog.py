@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm.bpe import bpe_digests
 from vellum.llm.byte_windows import suffix_dedup
+from vellum.llm.clustering import cluster_vectors
 from vellum.llm.cost_packing import pack_by_cost
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.language import language_id
@@ -16,6 +17,8 @@ from vellum.llm.quality import LANG_ROWS, LANG_SHARE, WORD_SHARE, quality_rules
 from vellum.llm.secrets import secret_scan
 from vellum.llm.simhash import near_duplicates
 from vellum.llm.token_counts import token_counts
+from vellum.llm.vector_codes import compress_vectors
+from vellum.llm.vector_sql import cluster_sql, code_sql
 from vellum.llm.word_windows import substring_dedup
 from vellum.sources.tables import read_table
 
@@ -26,6 +29,14 @@ def over_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(read_table(spark, f"{sf_dir}/documents.parquet"))
 
 
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read_table(spark, f"{sf_dir}/embeddings.parquet")).drop("n_distances")
+
+
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(read_table(spark, f"{sf_dir}/embeddings.parquet"))
+
+
 def native_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -42,6 +53,8 @@ QUERIES: dict[str, Query] = {
     "op9_language_id": over_documents(language_id),
     "op10_simhash": over_documents(near_duplicates),
     "op11_cost_packing": over_documents(pack_by_cost),
+    "op12_centroid_clustering": clusters,
+    "op13_vector_codes": vector_codes,
 }
 
 # Character classes as in the operator.
@@ -94,6 +107,8 @@ QUALITY_SQL = rf"""
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_centroid_clustering": cluster_sql(),
+    "op13_vector_codes": code_sql(),
     "op2_quality_rules": QUALITY_SQL,
     "op4_substring_dedup": r"""
         WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
