@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators.chunking import Limits, chunk_texts
 from vellum.operators.limits import anchored_windows
+from vellum.sources.delta_table import DeltaTable
 from vellum.streaming import ingest, timers
 
 T0 = datetime(2024, 1, 1)
@@ -25,7 +26,7 @@ def test_ingest_is_exact(spark, tmp_path):
             part.write.mode("append").parquet(src)
         stream = ingest.document_stream(spark, src, docs.schema, files_per_batch=2)
         ingest.ingest(stream, out, state, limits=limits).awaitTermination(120)
-    got = sorted((r.document_id, r.chunk_index, r.text) for r in spark.read.parquet(out).collect())
+    got = sorted((r.document_id, r.chunk_index, r.text) for r in DeltaTable(spark, out).read().collect())
     assert got == sorted((r.document_id, r.chunk_index, r.text) for r in chunk_texts(docs, limits).collect())
     good, bad = ingest.processed(spark.createDataFrame([(1, "ok text"), (2, None), (3, "  ")], "doc_id long, text string"))
     assert good.count() == 1 and {r.document_id: r.failure_reason for r in bad.collect()} == {2: "corrupt_document", 3: "empty_document"}

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from vellum.operators.chunking import Limits, chunk_results, chunk_texts, single_sections
 from vellum.operators.staging import staged
-from vellum.sources.sinks import replace_documents
+from vellum.sources.delta_table import DeltaTable
 
 
 def document_stream(spark: SparkSession, path: str, schema: StructType, *, files_per_batch: int | None = None) -> DataFrame:
@@ -25,15 +25,18 @@ def document_stream(spark: SparkSession, path: str, schema: StructType, *, files
 def ingest(stream: DataFrame, output: str, checkpoint: str, *, limits: Limits | None = None, process: Callable[[DataFrame], DataFrame] | None = None, once: bool = True) -> StreamingQuery:
     """Chunk every new document and replace what the sink has of it.
 
-    A batch that is run again after a failure writes the same partitions, so
-    each document's chunks are there once. With ``once`` all that is there is
-    processed and the query ends.
+    The sink is a ``DeltaTable``: a batch writes what it holds, and one that is
+    run again after a failure is known by its number and changes nothing. Runs
+    are merged as they add up. With ``once`` all that is there is processed and
+    the query ends.
     """
     limits = limits or Limits()
     process = process or (lambda docs: chunk_texts(docs, limits))
 
     def batch(docs: DataFrame, number: int) -> None:
-        replace_documents(process(docs), output)
+        table = DeltaTable(docs.sparkSession, output)
+        table.replace(process(docs).withColumn("text_sha256", F.sha2("text", 256)), keys=docs.select(F.col("doc_id").alias("document_id")), source=checkpoint, batch=number)
+        table.compact()
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
