@@ -215,11 +215,11 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sink_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sink after three batches: all documents, a third of them replaced in capitals, a seventh removed; runs merged; with the version before the removal."""
+    """A sink after three batches: all documents, a third of them replaced, a seventh removed; runs merged; with the version before the removal."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text")
     table = DeltaTable(spark, new_folder(spark, "sink"))
     table.replace(docs)
-    before = table.replace(docs.filter("document_id % 3 = 0").withColumn("text", F.upper("text")))
+    before = table.replace(docs.filter("document_id % 3 = 0").withColumn("text", F.concat("text", F.lit("!"))))
     table.remove(docs.filter("document_id % 7 = 0"))
     table.compact()
     digest = lambda version: table.read(version).select("document_id", F.sha2("text", 256).alias("text_sha256"))
@@ -303,7 +303,7 @@ ORACLE_SQL = {
     "in_flight_conflicts": "SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' AND (turn + conv_id) % 3 = 0 GROUP BY conv_id HAVING count(*) > 1",
     "conversation_list": "SELECT conv_id, count(*) FILTER (WHERE turn % 2 = 0) AS messages FROM conversations GROUP BY conv_id",
     "stream_ingest": r"SELECT doc_id AS document_id, 0 AS first_chunk FROM documents WHERE regexp_matches(coalesce(text, ''), '[\p{L}\p{N}]')",
-    "sink_versions": "SELECT doc_id AS document_id, sha256(CASE WHEN doc_id % 3 = 0 THEN upper(text) ELSE text END) AS text_sha256, doc_id % 7 = 0 AS removed FROM documents",
+    "sink_versions": "SELECT doc_id AS document_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS text_sha256, doc_id % 7 = 0 AS removed FROM documents",
     "safe_names": r"SELECT doc_id, trim(regexp_replace(left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 30) || '.PDF', '\s+', ' ', 'g'), ' .') AS value FROM documents",
     "valid_vectors": """
         WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm FROM embeddings)
