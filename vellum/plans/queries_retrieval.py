@@ -9,7 +9,9 @@ from vellum.functions.text import STOP_WORDS
 from vellum.operators.dense import at_least, nearest
 from vellum.operators.fusion import overlap, reciprocal_rank_fusion, sweep
 from vellum.operators.lexical import lexical_search, query_terms, searchable, term_matches, term_weights, with_readiness
+from vellum.operators.postings import PostingsIndex
 from vellum.operators.rerank import rerank, rerank_head
+from vellum.operators.staging import new_folder
 from vellum.plans import corpus as c
 from vellum.plans.search import diagnostics, eligible_vectors, hybrid_search, reranked_search
 from vellum.plans.search import candidates as hybrid_candidates
@@ -133,8 +135,28 @@ def reranked_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reranked_search(hybrid(spark, sf_dir), c.benchmark_queries(spark, sf_dir))
 
 
+def passage_index(spark: SparkSession, sf_dir: str) -> PostingsIndex:
+    """A stored index of all passages."""
+    index = PostingsIndex(spark, new_folder(spark, "postings"))
+    index.update(c.passages(spark, sf_dir), c.catalogue(spark, sf_dir))
+    return index
+
+
+def lexical_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(passage_index(spark, sf_dir).search(c.benchmark_queries(spark, sf_dir), limit=10), "score")
+
+
+def lexical_index_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after a third of the documents was taken out."""
+    index = passage_index(spark, sf_dir)
+    index.remove(c.catalogue(spark, sf_dir).filter("document_id % 3 = 0"))
+    return rounded(index.search(c.benchmark_queries(spark, sf_dir), limit=10), "score")
+
+
 QUERIES = {
     "lexical_topk": lexical_topk,
+    "lexical_index_topk": lexical_index_topk,
+    "lexical_index_changed": lexical_index_changed,
     "lexical_phrase": lexical_phrase,
     "term_idf": term_idf,
     "dense_topk": dense_topk,
@@ -257,8 +279,11 @@ pool AS (
 
 HEAD = r"array_to_string(regexp_split_to_array(text, '\s+')[1:3], ' ')"
 
+LEXICAL_TOPK = f"WITH {lexical_sql('passages', 10)} SELECT query_id, chunk_id, document_id, round(score, 6) AS score, rank FROM lexical"
 ORACLE_SQL = {
-    "lexical_topk": f"WITH {lexical_sql('passages', 10)} SELECT query_id, chunk_id, document_id, round(score, 6) AS score, rank FROM lexical",
+    "lexical_topk": LEXICAL_TOPK,
+    "lexical_index_topk": LEXICAL_TOPK,
+    "lexical_index_changed": LEXICAL_TOPK.replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0)"),
     "lexical_phrase": rf"""WITH {c.LINES_SQL},
         asked AS (SELECT item_id AS query_id, array_to_string({c.TOKENS_SQL.format(HEAD)}, ' ') AS term FROM benchmark)
         SELECT query_id, term, chunk_id FROM asked, passages
