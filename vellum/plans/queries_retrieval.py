@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.text import STOP_WORDS
+from vellum.operators.cells import CellIndex
 from vellum.operators.dense import at_least, nearest
 from vellum.operators.fusion import overlap, reciprocal_rank_fusion, sweep
 from vellum.operators.lexical import lexical_search, query_terms, searchable, term_matches, term_weights, with_readiness
@@ -153,7 +154,27 @@ def lexical_index_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(index.search(c.benchmark_queries(spark, sf_dir), limit=10), "score")
 
 
+def cell_index(spark: SparkSession, sf_dir: str) -> CellIndex:
+    """A stored index of all vectors by cell."""
+    index = CellIndex(spark, new_folder(spark, "cells"))
+    index.fit(c.vectors(spark, sf_dir))
+    index.add(c.vectors(spark, sf_dir))
+    return index
+
+
+def cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours from the nearest cells."""
+    return rounded(cell_index(spark, sf_dir).search(c.vector_queries(spark, sf_dir), by_tenant=False), "score")
+
+
+def cells_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours from all cells: codes choose the candidates, whole vectors decide."""
+    return rounded(cell_index(spark, sf_dir).search(c.vector_queries(spark, sf_dir), by_tenant=False, probed=1.0, refine=16), "score")
+
+
 QUERIES = {
+    "dense_cells_topk": cells_topk,
+    "dense_cells_all": cells_all,
     "lexical_topk": lexical_topk,
     "lexical_index_topk": lexical_index_topk,
     "lexical_index_changed": lexical_index_changed,
@@ -283,6 +304,7 @@ LEXICAL_TOPK = f"WITH {lexical_sql('passages', 10)} SELECT query_id, chunk_id, d
 ORACLE_SQL = {
     "lexical_topk": LEXICAL_TOPK,
     "lexical_index_topk": LEXICAL_TOPK,
+    "dense_cells_all": f"WITH {cosine_sql('found', 'true', 10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM found",
     "lexical_index_changed": LEXICAL_TOPK.replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0)"),
     "lexical_phrase": rf"""WITH {c.LINES_SQL},
         asked AS (SELECT item_id AS query_id, array_to_string({c.TOKENS_SQL.format(HEAD)}, ' ') AS term FROM benchmark)
