@@ -3,7 +3,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from vellum.operators.chunking import Limits, chunk_texts
-from vellum.operators.limits import anchored_windows
 from vellum.sources.delta_table import DeltaTable
 from vellum.streaming import ingest, timers
 
@@ -39,13 +38,6 @@ def hits(spark, tmp_path):
     return df, spark.readStream.schema(df.schema).parquet(str(tmp_path / "hits"))
 
 
-def test_limits_agree_with_batch(spark, tmp_path):
-    df, stream = hits(spark, tmp_path)
-    own = {"key": "user_id", "at": "ts", "order": "event_id", "window": timedelta(seconds=120), "most": 2}
-    got = {(r.event_id, r.attempt, r.allowed) for r in run(timers.limited(stream, **own), tmp_path, "limited")}
-    assert got == {(r.event_id, r.attempt, r.allowed) for r in anchored_windows(df, **own).collect()}
-
-
 def test_stalls_and_first(spark, tmp_path):
     beats = spark.createDataFrame([("a", T0), ("b", T0), ("b", T0 + timedelta(hours=3)), ("c", T0 + timedelta(hours=5))], "worker string, ts timestamp")
     for n, part in enumerate((beats.filter("ts < timestamp'2024-01-01 01:00:00'"), beats.filter("ts >= timestamp'2024-01-01 01:00:00'"))):

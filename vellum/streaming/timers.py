@@ -1,4 +1,4 @@
-"""Time-driven state over event streams: stalls, limits, repeats."""
+"""Time-driven state over event streams: stalls, repeats, expiry (R3, R5, R7, R8); what needs order is in ``ordered``."""
 
 from __future__ import annotations
 
@@ -32,31 +32,10 @@ def stalls(heartbeats: DataFrame, *, key: str, at: str, after: timedelta, latene
         state.update((last,))
         state.setTimeoutTimestamp(max(last // 1000 + span, state.getCurrentWatermarkMs() + 1))
 
-    rows = heartbeats.withWatermark(at, lateness).withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
+    rows = heartbeats.filter(F.col(at).isNotNull()).withWatermark(at, lateness).withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
     return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kinds[key]}, last_seen timestamp", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def limited(hits: DataFrame, *, key: str, at: str, order: str, window: timedelta, most: int) -> DataFrame:
-    """``attempt`` and ``allowed`` for each hit, with windows that a key's first hit opens."""
-    kinds = {f.name: f.dataType.simpleString() for f in hits.schema}
-    span = int(window.total_seconds() * 1_000_000)
-
-    def step(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor, count = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(["_us", order])
-        attempts = []
-        for t in rows["_us"].tolist():
-            if anchor is None or t >= anchor + span:
-                anchor, count = t, 0
-            count += 1
-            attempts.append(count)
-        state.update((anchor, count))
-        yield pd.DataFrame({order: rows[order].to_numpy(), key: own[0], "attempt": attempts, "allowed": [a <= most for a in attempts]})
-
-    rows = hits.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp"))).select(key, order, "_us")
-    return rows.groupBy(key).applyInPandasWithState(step, f"`{order}` {kinds[order]}, `{key}` {kinds[key]}, attempt int, allowed boolean", "anchor bigint, count int", "append", GroupStateTimeout.NoTimeout)
-
-
 def first_of_each(requests: DataFrame, *, keys: list[str], at: str, lateness: str = "1 hour") -> DataFrame:
     """The first request of each key within the lateness; repeats are dropped and state is bounded by it."""
     return requests.withWatermark(at, lateness).dropDuplicatesWithinWatermark(keys)
