@@ -67,7 +67,7 @@ def ground_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = claims(spark, sf_dir)
     completion = F.to_json(F.struct(F.lit(True).alias("answerable"), "answer", F.array(F.lit("S1")).alias("citations")))
     shown = F.transform("sources", lambda s, i: F.struct(F.concat(F.lit("S"), (i + 1).cast("string")).alias("label"), s.alias("text")))
-    out = rows.withColumn("g", g.ground_answer(completion, shown)).select("query_id", "g.*")
+    out = g.grounded(rows, completion, shown, output="g").select("query_id", "g.*")
     return out.withColumn("labels", F.array_join("labels", ","))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.operators.context import pack_context, render_prompts
-from vellum.operators.grounding import cite, completion_of, extract_answers, ground_answer, insufficiency_message
+from vellum.operators.grounding import cite, completion_of, extract_answers, grounded, insufficiency_message
 
 Generator = Callable[[DataFrame, DataFrame], DataFrame]
 GENERATORS: dict[str, Generator] = {}
@@ -33,7 +33,7 @@ def grounded_answers(questions: DataFrame, blocks: DataFrame, *, generator: str
     """Completions of the generator, checked against the blocks that were shown."""
     completions = GENERATORS[generator](questions, blocks)
     shown = blocks.groupBy("query_id").agg(F.collect_list(F.struct("label", "text")).alias("sources"))
-    checked = completions.join(shown, "query_id", "left").withColumn("g", ground_answer("completion", "sources"))
+    checked = grounded(completions.join(shown, "query_id", "left"), F.col("completion"), F.col("sources"), output="g")
     return questions.select("query_id", "query").join(checked.select("query_id", "g.*"), "query_id", "left")
 
 
