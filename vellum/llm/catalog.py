@@ -13,7 +13,7 @@ from vellum.llm.cost_packing import pack_by_cost
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.language import language_id
 from vellum.llm.packing import pack_documents
-from vellum.llm.quality import LANG_ROWS, LANG_SHARE, WORD_SHARE, quality_rules
+from vellum.llm.quality import LANG_ROWS, MOST_LANGS, WORD_SHARE, quality_rules
 from vellum.llm.secrets import secret_scan
 from vellum.llm.simhash import near_duplicates
 from vellum.llm.token_counts import token_counts
@@ -83,7 +83,8 @@ QUALITY_SQL = rf"""
                len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM split s LEFT JOIN repeats r USING (doc_id)
     ),
     checked AS (SELECT b.*, s.lang, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base b JOIN split s USING (doc_id)),
-    languages AS (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {LANG_ROWS} AND count(*) * {LANG_SHARE} >= (SELECT count(lang) FROM documents)),
+    enough AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {LANG_ROWS}),
+    languages AS (SELECT lang FROM enough ORDER BY n DESC, lang LIMIT {MOST_LANGS}),
     learned AS (SELECT doc_id, lang AS ref FROM checked WHERE NOT base_failed AND lang IN (SELECT lang FROM languages)),
     chars AS (SELECT doc_id, unnest([{CLASS_COUNTS}])::DOUBLE AS c, unnest(range(8)) AS k FROM docs),
     char_refs AS (SELECT ref, k, sum(c) AS r, sum(sum(c)) OVER (PARTITION BY ref) AS ref_sum FROM chars JOIN learned USING (doc_id) GROUP BY ref, k),
@@ -103,7 +104,7 @@ QUALITY_SQL = rf"""
     by_word AS (SELECT doc_id, min(d / most) AS d FROM (SELECT doc_id, ref, {distance_sql('c', 'r')} AS d FROM word_rows GROUP BY doc_id, ref) JOIN without USING (ref) WHERE most > 0 GROUP BY doc_id),
     judged AS (SELECT b.*, coalesce(c.d, 0) AS cd, coalesce(w.d, 0) AS wd FROM checked b LEFT JOIN by_char c USING (doc_id) LEFT JOIN by_word w USING (doc_id))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND NOT (word_chars >= 200 AND cd > 0.30) AND NOT (n_words >= 60 AND wd > 0.85) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM judged
+           NOT base_failed AND (((SELECT count(*) FROM enough) > {MOST_LANGS} AND lang NOT IN (SELECT ref FROM learned)) IS TRUE OR (NOT (word_chars >= 200 AND cd > 0.30) AND NOT (n_words >= 60 AND wd > 0.85))) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM judged
 """
 
 ORACLE_SQL: dict[str, str] = {

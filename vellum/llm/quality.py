@@ -18,12 +18,12 @@ from vellum.llm.common import give_back, map_rows, quoted, text_of, to_arrow
 
 #: A word is common in a language if it is at least one of so many of its words.
 WORD_SHARE = 200
-#: Rows with its label that a language needs for a reference, and one of how many labelled rows they must be.
+#: Rows with its label that a language needs for a reference, and languages that have one at most: those with the most rows.
 LANG_ROWS = 20
-LANG_SHARE = 1000
-#: Counters of a task's summary for each language, and entries at which it is cut down to them.
+MOST_LANGS = 1000
+#: Counters of a task's summary for each language, and entries of all languages together at which one is cut down to them.
 COUNTERS = 4 * WORD_SHARE
-MOST_ENTRIES = 200_000
+MOST_ENTRIES = 1_000_000
 LETTER = re.compile(rb"[a-z\x80-\xff]")
 # Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -112,9 +112,11 @@ class References:
     words: np.ndarray
     #: Distance of a text without any common word; 0 for a language that has none.
     without: np.ndarray
+    #: Whether there are languages with enough rows that have no reference, as there are too many.
+    more: bool
 
     @classmethod
-    def of(cls, chars: dict[str, np.ndarray], words: dict[str, dict[bytes, int]], totals: dict[str, int]) -> References:
+    def of(cls, chars: dict[str, np.ndarray], words: dict[str, dict[bytes, int]], totals: dict[str, int], more: bool = False) -> References:
         languages = sorted(chars)
         vocabularies = [sorted(w for w, n in words.get(lang, {}).items() if n * WORD_SHARE >= totals[lang] and LETTER.search(w)) for lang in languages]
         table = np.zeros((len(languages), 1 + max(map(len, vocabularies), default=0)))
@@ -123,7 +125,7 @@ class References:
             row[-1] = totals[lang] - row.sum()
         only_others = np.zeros_like(table)
         only_others[:, -1] = 1
-        return cls(languages, np.array([chars[lang] for lang in languages], dtype=np.float64).reshape(-1, len(CLASSES)), vocabularies, table, distances(only_others, table))
+        return cls(languages, np.array([chars[lang] for lang in languages], dtype=np.float64).reshape(-1, len(CLASSES)), vocabularies, table, distances(only_others, table), more)
 
     def char_distance(self, chars: np.ndarray) -> float:
         return float(distances(np.broadcast_to(chars, self.chars.shape).astype(np.float64), self.chars).min(initial=1.0)) if self.languages else 0.0
@@ -171,8 +173,8 @@ def gathered(docs: DataFrame, schema: str, add: Callable[[dict, str, bytes, list
 def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> References:
     """Learn each language's reference from all its documents that pass the base rule.
 
-    A language needs ``LANG_ROWS`` labelled rows and one in ``LANG_SHARE`` of
-    them all, so there are at most ``LANG_SHARE``. Its common words are those
+    A language needs ``LANG_ROWS`` labelled rows, however large the table; of
+    more than ``MOST_LANGS`` those with the most rows have one. Its common words are those
     that hold one in ``WORD_SHARE`` of its words, at most so many. They are
     found in two passes: each task keeps a bounded summary (Misra-Gries), whose
     sums miss no word of that share, and the words found are then counted
@@ -180,8 +182,8 @@ def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
     """
     lang = F.col(quoted(lang_col)).alias("lang")
     labelled = docs.filter(lang.isNotNull()).groupBy(lang).agg(F.count(F.lit(1)).alias("n"))
-    total = labelled.agg(F.sum("n")).first()[0] or 0
-    languages = [r["lang"] for r in labelled.filter((F.col("n") >= LANG_ROWS) & (F.col("n") * LANG_SHARE >= total)).select("lang").collect()]
+    languages = [r["lang"] for r in labelled.filter(F.col("n") >= LANG_ROWS).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGS + 1).collect()]
+    more, languages = len(languages) > MOST_LANGS, languages[:MOST_LANGS]
     if not languages:
         return References.of({}, {}, {})
     known = docs.filter(F.col(quoted(lang_col)).isin(languages))
@@ -191,7 +193,7 @@ def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
         own[0] += CLASS_MATRIX @ np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
         own[1] += len(words)
         own[2].update(raw.lower().split())
-        if len(own[2]) > MOST_ENTRIES:
+        if len(own[2]) > max(COUNTERS + COUNTERS // 4, MOST_ENTRIES // len(state)):
             own[2] = cut_down(own[2], COUNTERS)
 
     def summary_rows(state: dict) -> list[tuple]:
@@ -220,7 +222,7 @@ def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
     words: dict[str, dict[bytes, int]] = {}
     for r in exact:
         words.setdefault(r["lang"], {})[r["word"].encode()] = r["n"]
-    return References.of(chars, words, totals)
+    return References.of(chars, words, totals, more)
 
 
 def quality_rules(
@@ -244,12 +246,15 @@ def quality_rules(
     word rule from ``min_words`` words on; below, a document passes. Null text
     has no words; documents of a null language, or of one with too few rows, add
     to no reference; without any reference, or any common word, the rules are
-    silent.
+    silent. Where there are more than ``MOST_LANGS`` languages, they are also
+    silent for documents whose label names one without a reference.
     """
     known = references(docs, text_col=text_col, lang_col=lang_col)
+    lang = F.col(quoted(lang_col))
+    comparable = lang.isNull() | lang.isin(known.languages) if known.more else F.lit(True)
 
     def start():
-        def one(doc_id: int | None, text: str) -> Iterator[tuple]:
+        def one(doc_id: int | None, text: str, comparable: bool) -> Iterator[tuple]:
             raw = text.encode()
             bytes_of, words, counts = histograms(raw)
             n_words, chars = len(words), CLASS_MATRIX @ bytes_of
@@ -259,10 +264,10 @@ def quality_rules(
             repeats = repeated_words(words)
             failed = base_failed(n_words, repeats)
             by_char, by_word = known.char_distance(chars), known.word_distance(counts)
-            far = (word_chars >= min_chars and by_char > max_char_distance) or (n_words >= min_words and by_word > max_word_distance)
+            far = comparable and ((word_chars >= min_chars and by_char > max_char_distance) or (n_words >= min_words and by_word > max_word_distance))
             yield doc_id, n_words, word_chars, n_symbols, len(lines) - len(set(lines)), repeats, failed, not failed and not far, round(by_char, 6), round(by_word, 6)
 
         return one
 
     schema = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, char_distance double, word_distance double"
-    return map_rows(docs, [F.col(quoted(id_col)).cast("bigint"), text_of(quoted(text_col))], schema, start)
+    return map_rows(docs, [F.col(quoted(id_col)).cast("bigint"), text_of(quoted(text_col)), comparable], schema, start)
