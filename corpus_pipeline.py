@@ -15,23 +15,28 @@ from vellum.llm.simhash import near_duplicates
 #: No stage but the second can be expressed in SQL.
 ORACLE_SQL = None
 
-#: A column that no table of documents has.
-ROW = "_row"
 #: Keys of dropped rows that are broadcast at most, 8 bytes each.
 BROADCAST_ROWS = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose language is rejected; the others' ``lang`` becomes the predicted one."""
-    return keep_identified(docs, fit(docs))
+    """Drop the documents whose language is rejected; the others' ``lang`` becomes the predicted one.
+
+    Where no row has a label and a text there is nothing to learn from, and all documents stay as they are.
+    """
+    model = fit(docs)
+    return keep_identified(docs, model) if model.languages else docs
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """The rows with a key ``_row`` of their own, made once, so that a verdict finds its row whatever the ``doc_id``."""
-    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their own, made once, so that a verdict finds its row whatever the ``doc_id``; and a name for it that no column has."""
+    taken, name = {c.lower() for c in docs.columns}, "_row"
+    while name in taken:
+        name += "_"
+    return cut(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+def without_rows(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
     """The rows whose key is not among the dropped ones.
 
     Only keys decide. So long as few are dropped they are broadcast, and no text
@@ -39,7 +44,7 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """
     keys = cut(dropped)
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(keys) if few else keys, ROW, "left_anti").drop(ROW)
+    return docs.join(F.broadcast(keys) if few else keys, row, "left_anti").drop(row)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +53,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A text that only rows with null ids hold thus stays once. Of rows that
     share the largest id, one stays.
     """
-    keyed = with_row_key(docs)
-    verdicts = exact_dedup(keyed.withColumn("_id", F.struct("doc_id", ROW)), id_col="_id")
-    return without_rows(keyed, verdicts.filter(~F.col("kept")).select(f"doc_id.{ROW}"))
+    keyed, row = with_row_key(docs)
+    own = keyed.select(F.struct(F.col("doc_id"), F.col(row).alias("row")).alias("id"), "text")
+    return without_rows(keyed, exact_dedup(own, id_col="id").filter(~F.col("kept")).select(F.col("doc_id.row").alias(row)), row)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,13 +64,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A group of rows that all have null ids thus keeps one. Of rows that share
     the least id, one stays.
     """
-    keyed = with_row_key(docs)
-    groups = near_duplicates(keyed, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id").join(keyed.select(ROW, "doc_id"), ROW)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
-    groups = cut(groups.select("component_id", ROW, place.alias("place")))
+    keyed, row = with_row_key(docs)
+    own = keyed.select(F.col(row).alias("row"), "doc_id", "text")
+    groups = near_duplicates(own.select("row", "text"), id_col="row").select(F.col("doc_id").alias("row"), "component_id").join(own.select("row", "doc_id"), "row")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    groups = cut(groups.select("component_id", "row", place.alias("place")))
     first = cut(groups.groupBy("component_id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size")))
-    rest = join_by_size(groups, first, ["component_id"], "size").filter(F.col(ROW) != F.col(f"first.{ROW}"))
-    return without_rows(keyed, rest.select(ROW))
+    rest = join_by_size(groups, first, ["component_id"], "size").filter(F.col("row") != F.col("first.row"))
+    return without_rows(keyed, rest.select(F.col("row").alias(row)), row)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
