@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from vellum.plans.queries_text import documents, ranked
 from vellum.plans.search import hydrate, invalid_queries, unowned_scope
 from vellum.sources.delta_table import DeltaTable
 from vellum.sources.files import clean_name
+from vellum.sources.leases import LeasedTable, Lost
 from vellum.streaming.ingest import document_stream, ingest
 
 STATUSES = ("pending", "parsing", "chunking", "chunked", "embedding", "indexing", "ready", "failed")
@@ -226,8 +229,26 @@ def sink_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(None).withColumn("removed", F.lit(False)).unionByName(digest(before).filter("document_id % 7 = 0").withColumn("removed", F.lit(True)))
 
 
+def leased_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two workers claim half of the documents each; one dies, a third takes its documents over, and the dead one's late results are refused."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("text_sha256"))
+    table = LeasedTable(spark, new_folder(spark, "leased"))
+    half = -(-docs.count() // 2)
+    first, second = (table.claim(docs, name, most=half, now=0.0, seconds=60.0) for name in ("a", "b"))
+    work = lambda fence, name: docs.join(table.claimed(fence), "document_id").withColumn("worker", F.lit(name))
+    late = work(first, "a")
+    table.beat(second, now=50.0, seconds=60.0)
+    third = table.claim(docs, "c", most=half, now=100.0, seconds=60.0)
+    with contextlib.suppress(Lost):
+        table.finish(first, late)
+    table.finish(third, work(third, "c"))
+    table.finish(second, work(second, "b"))
+    return table.read().select("document_id", "worker", "text_sha256")
+
+
 QUERIES = {
     "stream_ingest": stream_ingest,
+    "leased_work": leased_work,
     "sink_versions": sink_versions,
     "claimable": claimable,
     "reindex": reindex,
@@ -303,6 +324,7 @@ ORACLE_SQL = {
     "in_flight_conflicts": "SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' AND (turn + conv_id) % 3 = 0 GROUP BY conv_id HAVING count(*) > 1",
     "conversation_list": "SELECT conv_id, count(*) FILTER (WHERE turn % 2 = 0) AS messages FROM conversations GROUP BY conv_id",
     "stream_ingest": r"SELECT doc_id AS document_id, 0 AS first_chunk FROM documents WHERE regexp_matches(coalesce(text, ''), '[\p{L}\p{N}]')",
+    "leased_work": "SELECT doc_id AS document_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= (SELECT (count(*) + 1) // 2 FROM documents) THEN 'c' ELSE 'b' END AS worker, sha256(text) AS text_sha256 FROM documents",
     "sink_versions": "SELECT doc_id AS document_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS text_sha256, doc_id % 7 = 0 AS removed FROM documents",
     "safe_names": r"SELECT doc_id, trim(regexp_replace(left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 30) || '.PDF', '\s+', ' ', 'g'), ' .') AS value FROM documents",
     "valid_vectors": """
