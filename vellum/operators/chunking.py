@@ -14,7 +14,7 @@ from vellum.functions.text import normalise
 from vellum.operators.segmentation import Span, blocks, lines_in, safe_cut, sentences_in, words_in
 
 VERSION = "c1.0"
-CHUNK = "document_id bigint, chunk_index int, section_ordinal int, text string, start_char int, end_char int, overlap_chars int, page_number int, heading string, heading_level int, heading_path array<string>"
+CHUNK = "chunk_index int, section_ordinal int, text string, start_char int, end_char int, overlap_chars int, page_number int, heading string, heading_level int, heading_path array<string>"
 Measure = Callable[[str, int, int], int]
 
 
@@ -162,11 +162,14 @@ def chunk_documents(documents: DataFrame, limits: Limits, *, size: Measure = cha
 
 
 def chunk_results(documents: DataFrame, limits: Limits, *, size: Measure = characters) -> DataFrame:
-    """Chunks, and a row with a ``failure_reason`` for each document that has too many of them, so that none stops a job."""
-    columns = [*(c.split()[0] for c in CHUNK.split(", ")), "failure_reason"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()]
+    """Chunks, and a row with a ``failure_reason`` for each document that has too many of them, so that none stops a job.
 
-    def of(document: int, own: list[dict]) -> list[tuple]:
+    Document ids keep their type.
+    """
+    columns = ["document_id", *(c.split()[0] for c in CHUNK.split(", ")), "failure_reason"]
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()]
+
+    def of(document: object, own: list[dict]) -> list[tuple]:
         try:
             return [(document, *chunk, None) for chunk in document_chunks(own, limits, size)]
         except TooManyChunksError:
@@ -176,9 +179,11 @@ def chunk_results(documents: DataFrame, limits: Limits, *, size: Measure = chara
         for batch in batches:
             rows = [row for i, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in of(i, own or [])]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=columns)
+                own_kinds = [batch.column(0).type, *kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), own_kinds, strict=True)], names=columns)
 
-    return documents.select(F.col("document_id").cast("bigint"), "sections").mapInArrow(run, CHUNK + ", failure_reason string")
+    schema = f"document_id {dict(documents.dtypes)['document_id']}, {CHUNK}, failure_reason string"
+    return documents.select("document_id", "sections").mapInArrow(run, schema)
 
 
 def normalise_sections(sections: DataFrame, *, collapse: str = "collapse") -> DataFrame:

@@ -16,7 +16,6 @@ from vellum.operators.chunking import Limits, chunk_results, gathered_sections,
 from vellum.operators.staging import staged
 from vellum.sources.files import extracted
 
-PROFILE_CHARS = 100_000
 #: Seconds between two recovery sweeps, and between two purges.
 RECOVERY_SECONDS, PURGE_SECONDS = 60, 3600
 
@@ -32,9 +31,13 @@ class Processed:
 
 
 def version_snapshot(chunks: DataFrame, sections: DataFrame, limits: Limits) -> DataFrame:
-    """``document_id, metadata``: counts, greatest chunk, chunking settings and script profile of a version, as JSON."""
+    """``document_id, metadata``: counts, greatest chunk, chunking settings and script profile of a version, as JSON.
+
+    The profile is that of all sections and their headings.
+    """
     sizes = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.max(F.length("text")).alias("max_chunk_chars"))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.substring("text", 1, PROFILE_CHARS).alias("text")))), lambda s: s["text"]), "\n")
+    shown = F.concat_ws("\n", "heading", "text") if "heading" in sections.columns else F.col("text")
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", shown.alias("text")))), lambda s: s["text"]), "\n")
     texts = sections.filter(F.col("text").isNotNull()).groupBy("document_id").agg(F.count(F.lit(1)).alias("section_count"), F.sum(F.length("text")).alias("chars"), script_profile(ordered).alias("script"))
     settings = F.struct(*[F.lit(v).alias(k) for k, v in asdict(limits).items()])
     both = sizes.join(texts, "document_id")
@@ -55,9 +58,10 @@ def process_documents(documents: DataFrame, files: DataFrame, *, limits: Limits
     claimed = documents.filter(F.coalesce(claim, F.lit(False))).select("document_id", "filename")
     own = claimed.join(files.select("filename", "content"), "filename", "left")
     missing = own.filter(F.col("content").isNull()).select("document_id", F.lit("file_missing").alias("failure_reason"))
-    named = F.concat(F.col("document_id").cast("string"), F.lit("/"), F.col("filename"))  # file names may repeat
+    # File names may repeat, and an id may hold any character.
+    named = F.concat(F.hex(F.col("document_id").cast("string")), F.lit("/"), F.col("filename"))
     raw = staged(extracted(own.filter(F.col("content").isNotNull()).select(named.alias("filename"), "content")))
-    raw = raw.withColumn("document_id", F.split("filename", "/")[0].cast(claimed.schema["document_id"].dataType))
+    raw = raw.withColumn("document_id", F.decode(F.unhex(F.substring_index("filename", "/", 1)), "UTF-8").cast(claimed.schema["document_id"].dataType))
     unreadable = raw.filter("failure_reason is not null").select("document_id", "failure_reason").distinct()
     sections = staged(normalise_sections(raw.filter("failure_reason is null")))
     results = staged(chunk_results(gathered_sections(sections), limits))

@@ -20,6 +20,7 @@ from vellum.plans import corpus as c
 from vellum.plans.assessment import model_comparison, rag_results
 from vellum.plans.processing import process_documents, timed_out, version_snapshot
 from vellum.plans.queries_evaluation import containment
+from vellum.plans.queries_text import ORACLE_SQL as TEXT_SQL
 from vellum.plans.queries_text import documents, ranked
 from vellum.plans.search import hydrate, invalid_queries, unowned_scope
 from vellum.sources.delta_table import DeltaTable
@@ -195,6 +196,16 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process_documents(own, files).documents.select("document_id", "status", "failure_reason")
 
 
+def processed_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``processed``, with ids that are no numbers and hold slashes, and the script profile that each version keeps."""
+    i = F.col("doc_id")
+    name = F.concat(i.cast("string"), F.when(i % 9 == 0, ".xyz").otherwise(".txt"))
+    own = documents(spark, sf_dir).select(F.concat(F.lit("doc/"), F.md5(i.cast("string"))).alias("document_id"), name.alias("filename"), F.lit("pending").alias("status"), F.lit(None).cast("timestamp").alias("started_at"))
+    files = documents(spark, sf_dir).filter(i % 7 != 0).select(name.alias("filename"), F.encode("text", "UTF-8").alias("content"))
+    script = F.from_json("metadata", "script struct<bengali: double, latin: double, other: double, primary_script: string>")["script"]
+    return process_documents(own, files).documents.select("document_id", "status", "failure_reason", script.alias("s")).select("document_id", "status", "failure_reason", "s.*")
+
+
 def question_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as questions with an invented fact each, run through the answer plan."""
     asked = c.benchmark_queries(spark, sf_dir).select("query_id", "query", F.concat(F.lit("c"), F.col("query_id") % 3).alias("category"), F.array("query_id").alias("relevant"), F.array(F.array(F.lower(F.substring("query", 1, 4)))).alias("facts"))
@@ -273,10 +284,12 @@ QUERIES = {
     "full_ranks": full_ranks,
     "version_metadata": version_metadata,
     "processed_documents": processed,
+    "processed_by_name": processed_by_name,
     "question_results": question_results,
     "model_comparison": models,
 }
 
+SCRIPT_SQL = TEXT_SQL["script_profile"]
 LIFECYCLE_SQL = f"""life AS (
     SELECT doc_id, ['{"', '".join(STATUSES)}'][doc_id % 8 + 1] AS status, 'c' || (doc_id % 3) AS config_id, {START} + to_minutes((doc_id % 20000)::INT) AS begun, doc_id % 4 AS attempts, doc_id % 2 = 0 AS chunked, n_chars FROM documents
 )"""
@@ -339,4 +352,10 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, doc_id % 4 <> 0 AS claimed, doc_id % 7 = 0 AS missing, doc_id % 9 = 0 AS unknown, NOT regexp_matches(coalesce(text, ''), '[\p{L}\p{N}]') AS empty FROM documents),
         r AS (SELECT *, CASE WHEN NOT claimed THEN NULL WHEN missing THEN 'file_missing' WHEN unknown THEN 'unsupported_format' WHEN empty THEN 'empty_document' END AS failure_reason FROM d)
         SELECT doc_id AS document_id, CASE WHEN failure_reason IS NOT NULL THEN 'failed' WHEN claimed THEN 'chunked' ELSE 'ready' END AS status, failure_reason FROM r""",
+    "processed_by_name": rf"""
+        WITH p AS ({SCRIPT_SQL}),
+        d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'file_missing' WHEN doc_id % 9 = 0 THEN 'unsupported_format' WHEN NOT regexp_matches(coalesce(text, ''), '[\p{{L}}\p{{N}}]') THEN 'empty_document' END AS failure_reason FROM documents)
+        SELECT 'doc/' || md5(doc_id::VARCHAR) AS document_id, CASE WHEN failure_reason IS NULL THEN 'chunked' ELSE 'failed' END AS status, failure_reason,
+               CASE WHEN failure_reason IS NULL THEN bengali END AS bengali, CASE WHEN failure_reason IS NULL THEN latin END AS latin, CASE WHEN failure_reason IS NULL THEN other END AS other, CASE WHEN failure_reason IS NULL THEN primary_script END AS primary_script
+        FROM d JOIN p USING (doc_id)""",
 }
