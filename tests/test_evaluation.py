@@ -69,3 +69,13 @@ def test_sample(spark):
     assert one == two and len(one) == 12
     assert sum(i % 10 == 0 for i in one) >= 6
     assert e.check_summary(df.select(F.lit("hard").alias("kind"), "category", F.col("flagged").alias("passed"))).count() == 5
+
+
+def test_filtered_arms(spark):
+    """Nothing outside a filter comes back; a filter of the relevant documents finds them all, a foreign one finds none."""
+    from vellum.plans.queries_evaluation import filtered_arms
+
+    rows = {r.arm: r for r in filtered_arms(spark, "/root/testdata/sf0.01").collect()}
+    assert set(rows) == {"hybrid+filter", "hybrid+foreign-filter"} and all(r.violations == 0 for r in rows.values())
+    assert rows["hybrid+filter"].top1_hits > 0.5 * rows["hybrid+filter"].questions > 0
+    assert rows["hybrid+foreign-filter"].top1_hits == 0 and rows["hybrid+foreign-filter"].answered > 0

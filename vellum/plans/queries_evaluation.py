@@ -114,7 +114,7 @@ def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C13 without its filtered arms, C23: the three arms, and the fused one reranked at several depths, over the same queries."""
+    """C13 (its filtered arms are ``filtered_arms``), C23: the three arms, and the fused one reranked at several depths, over the same queries."""
     plain = arms(spark, sf_dir)
     texts = c.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
     pool = plain.filter(F.col("arm") == "hybrid").join(texts, "key").join(c.benchmark_queries(spark, sf_dir).select("query_id", "query"), "query_id").withColumnRenamed("rank", "retrieval_rank")
@@ -123,10 +123,40 @@ def retrieval_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.arm_summary(rows).select("arm", "questions", *e.METRICS, "top1_hits")
 
 
+def filter_scopes(spark: SparkSession, sf_dir: str, relevant: DataFrame) -> dict[str, DataFrame]:
+    """For each query the documents that are relevant, and one that is not: that of the least id."""
+    wanted = relevant.select("query_id", F.col("key").alias("document_id")).distinct()
+    asked, ids, count = staged(wanted.select("query_id").distinct()), c.table(spark, sf_dir, "documents").select("doc_id").distinct(), 100
+    while True:
+        first = [r[0] for r in ids.orderBy("doc_id").limit(count).collect()]
+        pairs = asked.withColumn("document_id", F.explode(F.array(*map(F.lit, first)).cast("array<bigint>")))
+        other = staged(pairs.join(wanted, ["query_id", "document_id"], "left_anti").groupBy("query_id").agg(F.min("document_id").alias("document_id")))
+        if len(first) < count or asked.join(other, "query_id", "left_anti").isEmpty():
+            break
+        count *= 10  # an item that so many documents hold
+    return {"hybrid+filter": wanted, "hybrid+foreign-filter": other}
+
+
+def filtered_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused arm under both filters, with how many results lie outside them; what is found is the same for one document a passage."""
+    relevant, neutral = judged(spark, sf_dir)
+    parts = []
+    for arm, scope in filter_scopes(spark, sf_dir, relevant).items():
+        scope = staged(scope)
+        found = reciprocal_rank_fusion(document_search(spark, sf_dir, scope=scope), limit=50).select("query_id", F.col("chunk_id").alias("key"), "rank")
+        inside = scope.select("query_id", F.col("document_id").alias("key"), F.lit(True).alias("inside"))
+        parts.append(found.join(inside, ["query_id", "key"], "left").withColumn("arm", F.lit(arm)))
+    rows = staged(parts[0].unionByName(parts[1]))
+    outside = rows.groupBy("arm").agg(F.count_if(F.col("inside").isNull()).alias("violations"), F.countDistinct("query_id").alias("answered"))
+    summary = e.arm_summary(e.per_query(rows.select("arm", "query_id", "key", "rank"), relevant, neutral)).select("arm", "questions", *e.METRICS, "top1_hits")
+    return summary.join(outside, "arm", "left")
+
+
 DEPTHS = [10, 20, 50]
 
 QUERIES = {
     "retrieval_matrix": retrieval_matrix,
+    "filtered_arms": filtered_arms,
     "recall_mrr_ndcg": recall_mrr_ndcg,
     "arm_summary": arm_summary,
     "candidate_recall": candidate_recall,

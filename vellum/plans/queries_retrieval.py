@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import STOP_WORDS
 from vellum.operators.cells import CellIndex
-from vellum.operators.dense import at_least, nearest
+from vellum.operators.dense import at_least, nearest, nearest_in_scope
 from vellum.operators.fusion import overlap, reciprocal_rank_fusion, sweep
 from vellum.operators.lexical import lexical_search, query_terms, searchable, term_matches, term_weights, with_readiness
 from vellum.operators.postings import PostingsIndex
@@ -86,9 +86,9 @@ def fusion_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap(two_rankings(spark, sf_dir), "dense", "sparse")
 
 
-def document_search(spark: SparkSession, sf_dir: str, retrievers: tuple[str, ...] = ("dense", "sparse"), limit: int = 50) -> DataFrame:
-    """Candidates of whole documents for every benchmark item."""
-    return hybrid_candidates(c.whole_documents(spark, sf_dir), document_vectors(spark, sf_dir), c.one_chunk_each(c.catalogue(spark, sf_dir)), c.embedded_queries(spark, sf_dir), retrievers=retrievers, limit=limit)
+def document_search(spark: SparkSession, sf_dir: str, retrievers: tuple[str, ...] = ("dense", "sparse"), limit: int = 50, scope: DataFrame | None = None) -> DataFrame:
+    """Candidates of whole documents for every benchmark item, of those in ``scope`` if there is one."""
+    return hybrid_candidates(c.whole_documents(spark, sf_dir), document_vectors(spark, sf_dir), c.one_chunk_each(c.catalogue(spark, sf_dir)), c.embedded_queries(spark, sf_dir), retrievers=retrievers, limit=limit, scope=scope)
 
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +154,22 @@ def lexical_index_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(index.search(c.benchmark_queries(spark, sf_dir), limit=10), "score")
 
 
+def dense_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours among the vectors of two labels, other ones for each query's own label."""
+    vectors = c.vectors(spark, sf_dir).withColumn("document_id", F.col("user_id"))
+    queries = c.vector_queries(spark, sf_dir)
+    scope = queries.select("query_id", F.explode(F.array((F.col("user_id") + 1) % 10, (F.col("user_id") + 3) % 10)).alias("document_id"))
+    return rounded(nearest_in_scope(vectors, queries, scope, k=10, tenant=None), "score")
+
+
+def lexical_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every fifth document, another fifth for each query; frequencies are those of all."""
+    queries = c.benchmark_queries(spark, sf_dir)
+    fifth = c.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 5).alias("part"))
+    scope = queries.select("query_id", (F.col("query_id") % 5).alias("part")).join(fifth, "part").select("query_id", "document_id")
+    return rounded(lexical_search(c.passages(spark, sf_dir), c.catalogue(spark, sf_dir), queries, limit=10, scope=scope), "score")
+
+
 def cell_index(spark: SparkSession, sf_dir: str) -> CellIndex:
     """A stored index of all vectors by cell."""
     index = CellIndex(spark, new_folder(spark, "cells"))
@@ -173,6 +189,8 @@ def cells_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "dense_scoped_topk": dense_scoped,
+    "lexical_scoped_topk": lexical_scoped,
     "dense_cells_topk": cells_topk,
     "dense_cells_all": cells_all,
     "lexical_topk": lexical_topk,
@@ -303,6 +321,8 @@ HEAD = r"array_to_string(regexp_split_to_array(text, '\s+')[1:3], ' ')"
 LEXICAL_TOPK = f"WITH {lexical_sql('passages', 10)} SELECT query_id, chunk_id, document_id, round(score, 6) AS score, rank FROM lexical"
 ORACLE_SQL = {
     "lexical_topk": LEXICAL_TOPK,
+    "dense_scoped_topk": f"WITH {cosine_sql('found', 'v.label IN ((q.label + 1) % 10, (q.label + 3) % 10)', 10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM found",
+    "lexical_scoped_topk": LEXICAL_TOPK.replace("AS rank FROM scored", "AS rank FROM scored WHERE document_id % 5 = query_id % 5"),
     "lexical_index_topk": LEXICAL_TOPK,
     "dense_cells_all": f"WITH {cosine_sql('found', 'true', 10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM found",
     "lexical_index_changed": LEXICAL_TOPK.replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0)"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.operators.dense import at_least, embed, nearest
+from vellum.operators.dense import at_least, embed, nearest, nearest_in_scope
 from vellum.operators.fusion import K, overlap, reciprocal_rank_fusion
 from vellum.operators.lexical import CANDIDATES, lexical_search, searchable
 from vellum.operators.rerank import rerank
@@ -57,13 +57,15 @@ def semantic_search(chunks: DataFrame, vectors: DataFrame, documents: DataFrame,
     return ranked.join(chunks.select("chunk_id", "document_id", "text"), "chunk_id")
 
 
-def candidates(chunks: DataFrame, vectors: DataFrame, documents: DataFrame, queries: DataFrame, *, retrievers: tuple[str, ...] = ("dense", "sparse"), limit: int = CANDIDATES) -> DataFrame:
-    """Candidates of each retriever as ``query_id, retriever, chunk_id, rank, score``."""
+def candidates(chunks: DataFrame, vectors: DataFrame, documents: DataFrame, queries: DataFrame, *, retrievers: tuple[str, ...] = ("dense", "sparse"), limit: int = CANDIDATES, scope: DataFrame | None = None) -> DataFrame:
+    """Candidates of each retriever as ``query_id, retriever, chunk_id, rank, score``; ``scope`` names the documents of each query."""
     parts = []
     if "dense" in retrievers:
-        parts.append(nearest(eligible_vectors(vectors, documents), queries, k=limit).select("query_id", F.lit("dense").alias("retriever"), "chunk_id", "rank", "score"))
+        ready = eligible_vectors(vectors, documents)
+        found = nearest(ready, queries, k=limit) if scope is None else nearest_in_scope(ready, queries, scope, k=limit)
+        parts.append(found.select("query_id", F.lit("dense").alias("retriever"), "chunk_id", "rank", "score"))
     if "sparse" in retrievers:
-        parts.append(lexical_search(chunks, documents, queries, limit=limit).select("query_id", F.lit("sparse").alias("retriever"), "chunk_id", "rank", "score"))
+        parts.append(lexical_search(chunks, documents, queries, limit=limit, scope=scope).select("query_id", F.lit("sparse").alias("retriever"), "chunk_id", "rank", "score"))
     if not parts:
         raise ValueError("at least one retriever is needed")
     out = parts[0]
