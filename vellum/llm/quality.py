@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import give_back, map_rows, quoted, text_of, to_arrow
+from vellum.llm.common import cut, give_back, map_rows, quoted, text_of, to_arrow
 
 #: A word is common in a language if it is at least one of so many of its words.
 WORD_SHARE = 200
@@ -199,7 +199,7 @@ def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
     def summary_rows(state: dict) -> list[tuple]:
         return [row for lang, (chars, n, counts) in state.items() for row in [(lang, -1, "", n), *((lang, k, "", int(c)) for k, c in enumerate(chars)), *((lang, len(CLASSES), w.decode(), c) for w, c in cut_down(counts, COUNTERS).items())]]
 
-    sums = gathered(known, "lang string, kind bigint, word string, n bigint", summarise, summary_rows, text_col, lang_col).groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+    sums = cut(gathered(known, "lang string, kind bigint, word string, n bigint", summarise, summary_rows, text_col, lang_col).groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")))
     words_of = sums.filter("kind = -1").select("lang", F.col("n").alias("all"))
     # The summaries of a language fall short of a word's count by at most one in COUNTERS of its words.
     kept = sums.join(F.broadcast(words_of), "lang").filter((F.col("kind") < len(CLASSES)) | (F.col("n") * WORD_SHARE * 4 >= F.col("all") * 3)).drop("all").collect()
