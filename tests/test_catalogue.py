@@ -112,3 +112,13 @@ def test_anchored_windows_without_time_or_order(spark):
     got = {(r.event_id, r.attempt, r.allowed) for r in anchored_windows(df, key="user_id", at="ts", order="event_id", window=timedelta(seconds=60), most=1).collect()}
     assert got == {(1, 1, True), (None, 2, False), (3, None, None), (4, 1, True), (5, None, None)}
     assert anchored_windows(df.limit(0), key="user_id", at="ts", order="event_id", window=timedelta(seconds=60), most=1).count() == 0
+
+
+def test_first_rows_with_ties_and_nulls(spark):
+    """One row of a key is first, whatever ties, repeats or nulls it has."""
+    rows = [(1, "k", "x", 5), (2, "k", "y", 5), (3, "k", "x", 5), (4, "k", "x", 9), (5, None, "x", 1), (6, None, None, 2), (7, "n", "z", None), (8, "n", "z", 1)]
+    df = spark.createDataFrame(rows, "event_id long, k string, request_hash string, arrived long")
+    got = {r.event_id: r.outcome for r in talk.idempotent(df, key=("k",)).collect()}
+    assert sorted([got[1], got[3]]) == ["new", "replay"] and got[2] == "conflict" and got[4] == "replay"
+    assert (got[5], got[6], got[7], got[8]) == ("new", "conflict", "new", "replay")
+    assert talk.idempotent(df.limit(0), key=("k",)).count() == 0

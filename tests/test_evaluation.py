@@ -79,3 +79,38 @@ def test_filtered_arms(spark):
     assert set(rows) == {"hybrid+filter", "hybrid+foreign-filter"} and all(r.violations == 0 for r in rows.values())
     assert rows["hybrid+filter"].top1_hits > 0.5 * rows["hybrid+filter"].questions > 0
     assert rows["hybrid+foreign-filter"].top1_hits == 0 and rows["hybrid+foreign-filter"].answered > 0
+
+
+def test_merged_intervals(spark):
+    """Ends near those of the exact form, the same rows under any partitioning, and a Python form of the draws."""
+    import hashlib
+
+    from vellum.functions.statistics import POISSON
+
+    rng = random.Random(7)
+    rows = [(i, "ab"[i % 2], rng.random()) for i in range(400)] + [(1000 + i, "few", 1.0) for i in range(9)] + [(2000, "a", None)] + [(3000 + i, None, float(i % 2)) for i in range(30)]
+    df = spark.createDataFrame(rows, "query_id long, arm string, x double")
+    got = {r.arm: r for r in e.merged_intervals(df, ["arm"], "query_id", "x").collect()}
+    again = {r.arm: r for r in e.merged_intervals(df.repartition(9), ["arm"], "query_id", "x").collect()}
+    assert got == again
+    for arm in ("a", "b", None):
+        values = [x for _, a, x in rows if a == arm and x is not None]
+        low, high = bootstrap_interval(values)
+        width = high - low
+        assert got[arm].n == len(values) and got[arm].mean == round(statistics.fmean(values), 4)
+        assert abs(got[arm].low - low) < 0.15 * width and abs(got[arm].high - high) < 0.15 * width
+    assert got["few"].low is None and got["few"].n == 9
+
+    def weight(key, b):
+        digest = hashlib.sha256(f"{key}|{b // 8}".encode()).hexdigest()
+        draw = int(digest[b % 8 * 8 : b % 8 * 8 + 8], 16)
+        return next((k for k, end in enumerate(POISSON) if draw < end), len(POISSON))
+
+    own = [(i, x) for i, a, x in rows if a is None]
+    means = sorted(sum(weight(i, b) * x for i, x in own) / sum(weight(i, b) for i, x in own) for b in range(100))
+    small = {r.arm: r for r in e.merged_intervals(df, ["arm"], "query_id", "x", resamples=100).collect()}
+    assert (small[None].low, small[None].high) == (round(means[2], 4), round(means[97], 4))
+    assert e.merged_intervals(df.limit(0), ["arm"], "query_id", "x").count() == 0
+    two = df.filter("arm = 'a'").selectExpr("query_id", "'one' as arm", "x").unionByName(df.filter("arm = 'a'").selectExpr("query_id", "'two' as arm", "x + 0.5 as x"))
+    delta = e.merged_delta(two, "one", "two", "x").first()
+    assert delta.delta == 0.5 and delta.low == delta.high == 0.5

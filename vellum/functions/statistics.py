@@ -61,6 +61,35 @@ def bootstrap_interval(values: list[float], confidence: float = 0.95, resamples:
     return at(tail), at(1 - tail)
 
 
+#: Draws that one hash gives: eight of 32 bits.
+DRAWS = 8
+#: Upper ends, of 2**32, of the draws that give weight 0, 1, ...: the distribution function of Poisson(1).
+POISSON = [int(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(12)]
+
+
+def poisson_weights(key: Column, resamples: int = RESAMPLES) -> Column:
+    """``array<struct<resample, weight>>`` of a row, from hashes of its key, without zeros.
+
+    A row's weight in a resample depends on nothing but both, so resamples are
+    sums that any partitioning gives alike. Every 32-bit draw meets the table of
+    Poisson(1), whose weights add to the number of rows on average.
+    """
+
+    def weight(draw: Column) -> Column:
+        out = F.lit(len(POISSON))
+        for k in reversed(range(len(POISSON))):
+            out = F.when(draw < POISSON[k], k).otherwise(out)
+        return out
+
+    def draws(seed: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda j: F.conv(F.substring(seed, j * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+
+    # One step for each value, so that none is worked out again inside the next.
+    seeds = F.transform(F.sequence(F.lit(0), F.lit(-(-resamples // DRAWS) - 1)), lambda block: F.sha2(F.concat_ws("|", key.cast("string"), block.cast("string")), 256))
+    weights = F.transform(F.flatten(F.transform(seeds, draws)), lambda u, i: F.struct(i.alias("resample"), weight(u).alias("weight")))
+    return F.filter(weights, lambda d: (d["weight"] > 0) & (d["resample"] < resamples))
+
+
 @F.pandas_udf(INTERVAL)
 def bootstrap_ci(values: pd.Series) -> pd.DataFrame:
     """A16 over an array column: gather per group in a fixed order first, as the interval depends on it."""

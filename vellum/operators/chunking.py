@@ -104,6 +104,7 @@ def document_chunks(sections: list[dict], limits: Limits, size: Measure = charac
     T8: a heading replaces those of its level and below; sections without one
     stand below the current path, and a heading counts even if its section has
     no text. A chunk without letter or digit is dropped and takes no number.
+    A section that carries ``spans`` is cut there.
     """
     path: list[tuple[int, str]] = []
     number = 0
@@ -114,7 +115,8 @@ def document_chunks(sections: list[dict], limits: Limits, size: Measure = charac
             path.append((s["heading_level"], s["heading"]))
         if not text.strip():
             continue
-        for start, end, shared in section_spans(text, s.get("paragraph_mode") or "blank_line", bool(s.get("markdown")), limits, size):
+        known = [(p["start"], p["end"], p["shared"]) for p in s.get("spans") or []]
+        for start, end, shared in known or section_spans(text, s.get("paragraph_mode") or "blank_line", bool(s.get("markdown")), limits, size):
             if not any(map(str.isalnum, text[start:end])):
                 continue
             if number >= limits.chunks:
@@ -129,10 +131,13 @@ SECTION_FIELDS = ("ordinal", "text", "heading", "heading_level", "page_number",
 FIELD_KINDS = {"heading": "string", "heading_level": "int", "page_number": "int", "paragraph_mode": "string", "markdown": "boolean"}
 
 
-def gathered_sections(sections: DataFrame) -> DataFrame:
-    """``document_id, sections`` with a document's sections in one row, in order; fields that are not there are null."""
+def gathered_sections(sections: DataFrame, *more: str) -> DataFrame:
+    """``document_id, sections`` with a document's sections in one row, in order; fields that are not there are null.
+
+    ``more`` names further columns that the sections carry.
+    """
     have = [F.col(f) if f in sections.columns else F.lit(None).cast(FIELD_KINDS[f]) for f in SECTION_FIELDS]
-    own = sections.select("document_id", F.struct(*[h.alias(f) for h, f in zip(have, SECTION_FIELDS, strict=True)]).alias("s"))
+    own = sections.select("document_id", F.struct(*[h.alias(f) for h, f in zip(have, SECTION_FIELDS, strict=True)], *more).alias("s"))
     return own.groupBy("document_id").agg(F.array_sort(F.collect_list("s")).alias("sections"))
 
 

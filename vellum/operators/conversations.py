@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import default_title, fingerprint
+from vellum.operators.joins import with_first
 
 MOST_MESSAGES, MOST_CONVERSATIONS = 400, 1000
 INTERRUPTED_AFTER = 480
@@ -23,8 +24,8 @@ def request_fingerprint(question: Column, scope: Column) -> Column:
 
 def idempotent(requests: DataFrame, *, key: tuple[str, ...] = ("conv_id", "idempotency_key"), content: str = "request_hash", arrival: str = "arrived") -> DataFrame:
     """The first request of a key is new; a later one with the same content is a replay, with another a conflict."""
-    w = Window.partitionBy(*key).orderBy(arrival)
-    return requests.withColumn("outcome", F.when(F.row_number().over(w) == 1, "new").when(F.first(content).over(w).eqNullSafe(F.col(content)), "replay").otherwise("conflict"))
+    rows = with_first(requests, key, arrival, content)
+    return rows.withColumn("outcome", F.when(F.col("_is_first"), "new").when(F.col("_first").eqNullSafe(F.col(content)), "replay").otherwise("conflict")).drop("_is_first", "_first")
 
 
 def in_flight_conflicts(messages: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import search_pattern
+from vellum.operators.joins import with_first
 
 MOST_VERSIONS, QUOTA_BYTES = 20, 1 << 30
 # Allowed changes of a document's status.
@@ -118,9 +119,8 @@ def undeletable(versions: DataFrame, family: str = "family_id") -> DataFrame:
 
 def checksum_duplicates(uploads: DataFrame, *, user: str = "user_id", checksum: str = "checksum", family: str = "family_id", arrival: str = "arrived") -> DataFrame:
     """V8, C11: what becomes of each upload: new, a repeat within its family, or a duplicate of another one."""
-    first = F.first(F.col(family)).over(Window.partitionBy(user, checksum).orderBy(arrival))
-    place = F.row_number().over(Window.partitionBy(user, checksum).orderBy(arrival))
-    return uploads.withColumn("outcome", F.when(place == 1, "new").when(first == F.col(family), "repeat").otherwise("duplicate"))
+    rows = with_first(uploads, (user, checksum), arrival, family)
+    return rows.withColumn("outcome", F.when(F.col("_is_first"), "new").when(F.col("_first") == F.col(family), "repeat").otherwise("duplicate")).drop("_is_first", "_first")
 
 
 def pending_chunks(chunks: DataFrame, vectors: DataFrame, config: str) -> DataFrame:
@@ -245,8 +245,9 @@ def added_members(request: DataFrame, members: DataFrame, documents: DataFrame)
     known = documents.select("document_id", F.lit(True).alias("known"))
     have = members.select("collection_id", "document_id", F.lit(True).alias("have")).distinct()
     rows = asked.join(known, "document_id", "left").join(have, ["collection_id", "document_id"], "left")
-    bad = F.max(F.col("known").isNull()).over(Window.partitionBy("collection_id"))
-    outcome = F.when(F.col("known").isNull(), "unknown").when(bad, "rejected").when(F.col("have"), "existing").otherwise("added")
+    bad = asked.join(known, "document_id", "left_anti").select(F.col("collection_id").alias("_of"), F.lit(True).alias("_bad")).distinct()
+    rows = rows.join(bad, F.col("collection_id").eqNullSafe(F.col("_of")), "left")
+    outcome = F.when(F.col("known").isNull(), "unknown").when(F.col("_bad"), "rejected").when(F.col("have"), "existing").otherwise("added")
     return rows.select("collection_id", "document_id", outcome.alias("outcome"))
 
 
