@@ -25,6 +25,13 @@ SENSITIVE = ("password", "passwd", "pwd", "passphrase", "secret", "token", "api_
 SENSITIVE_AT = re.compile("(?i:" + "|".join(SENSITIVE) + ")", re.ASCII)
 LEAST = 12
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+#: What stands together without a space, quote or bracket; a password with signs in it is measured as one string.
+RUN = re.compile(r"[A-Za-z0-9!#$%&*+./:=?@\\^_|~-]+")
+SIGNS = re.compile(r"[!#$%&*^~|\\]")
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: Parts of a date or of a numbered name, which don't make a string a secret: years, numbers of two digits, a day with an hour.
+NUMBERED = re.compile(r"(?:19|20)\d\d|\d{1,2}(?:[Tt]\d{1,2})?")
+PARTS = re.compile(r"[-_/=+]+")
 # Identifiers and code that secrets are set against.
 IDENTIFIERS = "abstract address application argument array assert async attribute authorization await bearer begin boolean bucket buffer build bytes cache callback catch certificate channel char class client cluster code collection column commit component config configuration connection console const constructor container content context controller cookie count counter create credential current cursor data database date debug default define delete description destination dictionary directory document domain double element else email encoding endpoint entity enum environment error event example except exception execute export extends extension factory false field file filename filter final finally float folder format function generate group handler hash header height helper host https identifier image implements import index information init input insert instance integer interface internal invalid iterator json kernel label lambda language length level library limit line link list listener load local location logger login long manager mapping master match maximum memory message method minimum model module name namespace network node null number object offset online operation option order output package page parameter parent parse partition pass path pattern payload permission pipeline plugin pointer policy position prefix previous primary private process production profile project property protocol provider proxy public query queue random range read record reference region register registry release remote remove render replace repository request required reset resource response result return role route rule runtime sample scheduler schema scope script search section security select sequence server service session setting signature size socket source stack start state static status storage stream string struct submit suffix summary super switch system table target task template test text thread throw timeout timestamp title token total trace transaction transform true type undefined unique update upload user username utility valid value variable vector version view void warning webhook width window workflow wrapper write"
 CODE = " = os.environ.get(\" = getenv(' if __name__ == \"__main__\": import json public static final String const require(' export default function() { return } \"Authorization\": \"Bearer \" https://www.example.com/api/v1/ 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ aaaaaaaa 00000000 -------- ======== xxxxxxxx ________ your_api_key_here changeme placeholder example_password "
@@ -76,18 +83,50 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def with_signs(run: str) -> bool:
+    """Whether a run is measured whole: signs inside it, both cases and digits, and no address."""
+    if len(run) < LEAST or "://" in run or not SIGNS.search(run) or ADDRESS.fullmatch(run):
+        return False
+    return any(map(str.isupper, run)) and any(map(str.islower, run)) and any(map(str.isdigit, run))
+
+
 def candidates(text: str, reach: int) -> Iterator[tuple[int, int]]:
     """Strings of at least 12 characters that start at most ``reach`` characters behind a sensitive word.
 
-    A string ends where the next sensitive word starts, so strings don't
-    overlap, and every character is read a bounded number of times.
+    A run without a space, quote or bracket is one string if ``with_signs`` says
+    so; otherwise the pieces of it between signs are. No string is cut by a
+    sensitive word inside it, and none is looked at twice: what one word doesn't
+    reach is left for the next, so every character is read a bounded number of times.
     """
-    words = [m.span() for m in SENSITIVE_AT.finditer(text)]
-    for k, (_, at) in enumerate(words):
-        end = words[k + 1][0] if k + 1 < len(words) else len(text)
-        while found := CANDIDATE.search(text, at, min(end, words[k][1] + reach + LEAST)):
-            at = CANDIDATE.match(text, found.start(), end).end()
-            yield found.start(), at
+    at = run_end = 0
+    for m in SENSITIVE_AT.finditer(text):
+        at, last = max(at, m.end()), m.end() + reach
+        while at <= last and (found := RUN.search(text, at, min(len(text), last + 1))):
+            start = found.start()
+            if start >= run_end:
+                run_end = RUN.match(text, start).end()
+                run = text[start:run_end]
+                whole = run.strip(":=.?!/-")
+                if with_signs(whole):
+                    left = start + len(run) - len(run.lstrip(":=.?!/-"))
+                    yield left, left + len(whole)
+                    at = run_end
+                    continue
+            at = run_end
+            for piece in CANDIDATE.finditer(text, start, run_end):
+                if piece.start() > last:
+                    at = piece.start()
+                    break
+                yield piece.span()
+
+
+def counted(value: str) -> tuple[int, bool]:
+    """Letters of a string, and whether it has digits that count: not those of dates and numbered names, nor the number behind a long name."""
+    parts = [p for p in PARTS.split(value) if p and not NUMBERED.fullmatch(p)]
+    letters = sum(map(str.isalpha, "".join(parts)))
+    if letters >= LETTERS_FROM:
+        parts = [p.rstrip("0123456789") if len(p) - len(p.rstrip("0123456789")) <= 4 else p for p in parts]
+    return letters, any(map(str.isdigit, "".join(parts)))
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, *, reach: int = REACH, min_bits: float = MIN_BITS, letters_min_bits: float = LETTERS_MIN_BITS) -> list[tuple[int, int, str]]:
@@ -95,7 +134,8 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty,
 
     Measured is every candidate that does not lie wholly inside a base span and
     has letters and digits both, or at least ``LETTERS_FROM`` letters: shorter
-    ones can't be told from words of prose.
+    ones can't be told from words of prose. Digits of dates, of numbers of two
+    digits between dashes, and of up to four behind a long name don't count.
     """
     if not is_sensitive(text):
         return []
@@ -105,7 +145,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty,
         if before and furthest[before - 1] >= end:
             continue
         value = text[start:end]
-        letters, digits = sum(map(str.isalpha, value)), any(map(str.isdigit, value))
+        letters, digits = counted(value)
         if not letters or not (digits or letters >= LETTERS_FROM):
             continue
         if novelty.bits_per_char(text[max(0, start - reach) : start], value, text[end : end + reach]) >= (min_bits if digits else letters_min_bits):
