@@ -78,8 +78,8 @@ draws AS (SELECT key, b * {DRAWS} + j AS resample, ('0x' || substr(seed, (j * 8
 poisson AS (SELECT key, resample, {WEIGHT} AS w FROM draws),
 means AS (SELECT by_, resample, sum(x * w) / sum(w) AS mean FROM known JOIN poisson USING (key) WHERE w > 0 GROUP BY by_, resample),
 lists AS (SELECT by_, list_sort(list(mean)) AS m FROM means GROUP BY by_),
-sizes AS (SELECT by_, count(*) AS n, round(avg(x), 4) AS mean FROM known GROUP BY by_)
-SELECT {by}n, mean AS {mean}, {low} AS low, {high} AS high FROM sizes JOIN lists ON sizes.by_ IS NOT DISTINCT FROM lists.by_"""
+amounts AS (SELECT by_, count(*) AS n, round(avg(x), 4) AS mean FROM known GROUP BY by_)
+SELECT {by}n, mean AS {mean}, {low} AS low, {high} AS high FROM amounts JOIN lists ON amounts.by_ IS NOT DISTINCT FROM lists.by_"""
 
 
 ORACLE_SQL = {
@@ -87,6 +87,6 @@ ORACLE_SQL = {
         SELECT n.document_id, count(*) AS sections, count(o.text) AS reused, count(*) - count(o.text) AS changed FROM revised n LEFT JOIN old o ON o.document_id = n.document_id AND o.text = n.text GROUP BY n.document_id""",
     "vector_reuse": f"""{VERSIONS}, old AS (SELECT DISTINCT text FROM passages)
         SELECT n.document_id, count(o.text) AS moved, count(*) - count(o.text) AS embedded, count(*) AS vectors FROM revised n LEFT JOIN old o ON o.text = n.text GROUP BY n.document_id""",
-    "bootstrap_merged": f"WITH vals AS (SELECT source AS by_, doc_id AS key, quality::DOUBLE AS x FROM labels JOIN documents USING (doc_id)), {intervals_sql('vals', 'sizes.by_ AS source, ')}",
+    "bootstrap_merged": f"WITH vals AS (SELECT source AS by_, doc_id AS key, quality::DOUBLE AS x FROM labels JOIN documents USING (doc_id)), {intervals_sql('vals', 'amounts.by_ AS source, ')}",
     "paired_bootstrap_merged": f"{ARMS}, vals AS (SELECT 1 AS by_, a.query_id AS key, b.mrr_at_10 - a.mrr_at_10 AS x FROM per_query a JOIN per_query b USING (query_id) WHERE a.arm = 'dense' AND b.arm = 'hybrid'), {intervals_sql('vals', '', 'delta')}",
 }
