@@ -58,14 +58,17 @@ def rechunk(before: DataFrame, chunks: DataFrame, after: DataFrame, limits: Limi
     are made anew for a changed document. A document that is gone has no rows;
     one without chunks, or one that failed, is cut again if it changed.
     """
-    old, new = staged(with_leaves(before)), staged(with_leaves(after))
+    old, new = (staged(with_leaves(v).select("document_id", "ordinal", "leaf", "heading", "heading_level", "page_number")) for v in (before, after))
     changed = staged(changed_documents(old, new))
     same = new.select("document_id").distinct().join(changed, "document_id", "left_anti")
     have = chunks if "failure_reason" in chunks.columns else chunks.withColumn("failure_reason", F.lit(None).cast("string"))
     kept = have.join(same, "document_id", "left_semi").select("document_id", *CHUNK_FIELDS)
     cuts = known_cuts(have.filter("failure_reason is null").join(changed, "document_id", "left_semi"), old)
-    work = new.join(changed, "document_id", "left_semi").join(cuts, ["document_id", "leaf"], "left")
-    return kept.unionByName(chunk_results(gathered_sections(work, "spans"), limits or Limits()))
+    by_leaf = cuts.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("leaf", "spans"))).alias("known"))
+    # All meet by document, so texts are shuffled once.
+    work = gathered_sections(with_leaves(after).join(changed, "document_id", "left_semi"), "leaf").join(by_leaf, "document_id", "left")
+    placed = F.transform("sections", lambda s: s.withField("spans", F.col("known")[s["leaf"]]))
+    return kept.unionByName(chunk_results(work.select("document_id", placed.alias("sections")), limits or Limits()))
 
 
 def by_length(texts: DataFrame, text_col: str = "text") -> DataFrame:
