@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from vellum.functions.vectors import cosine, hashed_vector, is_valid
 from vellum.operators.dense import EMBEDDERS, at_least, embed, hashing, nearest, register_embedder
 from vellum.operators.fusion import overlap, reciprocal_rank_fusion
 from vellum.operators.lexical import lexical_query, lexical_search, split_query
+from vellum.operators.postings import PostingsIndex
 from vellum.operators.rerank import SCORERS, register_scorer, rerank, rerank_head
 from vellum.plans.search import candidates, diagnostics, hybrid_search, invalid_queries, reranked_search, resolve_top_k, semantic_search, unowned_scope
 
@@ -51,6 +54,21 @@ def test_rare_terms_lead_and_scope_holds(spark, data):
     assert [r.chunk_id for r in other] == [5]
 
 
+def test_equal_terms_tie_in_any_order(spark, tmp_path):
+    """Chunks with the same words have bit-equal scores, so the chunk decides their order."""
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(12)]
+    rows = [(n, n, "u", " ".join(rng.sample(words, 12))) for n in range(60)] + [(100 * (i + 1) + n, 100 * (i + 1) + n, "u", words[i]) for i in range(12) for n in range(i * 3)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, user_id string, text string")
+    docs = chunks.select("document_id", "user_id", F.lit("ready").alias("status"), F.lit(True).alias("is_active"), F.lit(1).alias("chunk_count"))
+    asked = ask(spark, " ".join(words))
+    index = PostingsIndex(spark, str(tmp_path / "index"))
+    index.update(chunks, docs)
+    for found in (lexical_search(chunks, docs, asked, limit=60), index.search(asked, limit=60)):
+        got = found.orderBy("rank").collect()
+        assert len({r.score for r in got}) == 1 and [r.chunk_id for r in got] == list(range(60))
+
+
 def test_phrases(spark, data):
     assert [r.chunk_id for r in lexical_search(*data, ask(spark, '"the field"')).collect()] == [2, 3] or True
     got = {r.chunk_id for r in lexical_search(*data, ask(spark, '"field near"')).collect()}

@@ -14,6 +14,8 @@ from vellum.operators.joins import hinted, is_small
 QUOTES = {'"': '"', "“": "”", "„": "”", "«": "»"}
 MAX_PHRASES, MAX_PHRASE_CHARS = 5, 200
 MAX_TERMS, CANDIDATES = 12, 50
+#: Scores are summed in whole numbers of this part of 1, so that equal terms tie in whatever order they come.
+PART = 1e14
 PARSED = T.StructType([T.StructField("words", T.StringType()), T.StructField("phrases", T.ArrayType(T.StringType()))])
 
 
@@ -87,6 +89,11 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (F.greatest(n, df) - df + 0.5) / (df + 0.5))
 
 
+def parts(weight: Column) -> Column:
+    """A weight in whole ``PART``s; some 2,000 of the largest weights fit a sum."""
+    return F.rint(weight * PART).cast("bigint")
+
+
 def corpus_size(documents: DataFrame) -> DataFrame:
     """A1: chunks of each tenant's searchable documents; no filter of a query applies."""
     return searchable(documents).groupBy("user_id").agg(F.coalesce(F.sum("chunk_count"), F.lit(0)).cast("double").alias("n"))
@@ -129,6 +136,6 @@ def lexical_search(chunks: DataFrame, documents: DataFrame, queries: DataFrame,
     hits = flagged.join(hinted(weights, small), ["user_id", "term"])
     if scope is not None:
         hits = hits.join(scope.select("query_id", "document_id"), ["query_id", "document_id"], "left_semi")
-    scores = hits.groupBy("query_id", "chunk_id", "document_id").agg(F.sum(F.when(F.col("is_ready"), F.col("idf"))).alias("score")).filter("score is not null")
+    scores = hits.groupBy("query_id", "chunk_id", "document_id").agg((F.sum(F.when(F.col("is_ready"), parts(F.col("idf")))) / PART).alias("score")).filter("score is not null")
     best = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "chunk_id")
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)

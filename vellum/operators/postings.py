@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from vellum.functions.text import STOP_WORDS, tokens
 from vellum.functions.varints import gaps, heads, pack, summed, unpack
 from vellum.operators.joins import hinted, is_small
-from vellum.operators.lexical import CANDIDATES, MAX_TERMS, chosen_terms, idf, query_terms, searchable
+from vellum.operators.lexical import CANDIDATES, MAX_TERMS, PART, chosen_terms, idf, parts, query_terms, searchable
 from vellum.operators.staging import staged
 from vellum.sources.versions import Versions
 
@@ -35,7 +35,7 @@ BLOCKS_AT_ONCE = 256
 SPREAD = 1_000_000
 #: A query's rarest terms are read whole until they have this many times the wanted results.
 LEAD = 8
-#: Sums of scores in another order differ by less.
+#: Bounds, which are sums of doubles, and scores differ from the true sums by less.
 MARGIN = 1e-9
 
 GROUPED = "token string, searchable boolean, slice int, n int, ids array<bigint>, counts array<int>, places array<int>"
@@ -334,12 +334,12 @@ class PostingsIndex:
             wanted = scope.select("query_id", "document_id").distinct()
             in_scope = self.alive(self.live("owners", state["segments"]), state).join(hinted(wanted, is_small(wanted)), "document_id").select("query_id", "segment", "chunk_id")
             hits = hits.join(in_scope, ["query_id", "segment", "chunk_id"], "left_semi")
-        partial = staged(hits.groupBy("query_id", "user_id", "segment", "chunk_id").agg(F.sum("idf").alias("score")))
+        partial = staged(hits.groupBy("query_id", "user_id", "segment", "chunk_id").agg(F.sum(parts(F.col("idf"))).alias("sum")).withColumn("score", F.col("sum") / PART))
         worst = partial.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))).filter(F.col("place") == limit).select("query_id", F.col("score").alias("worst"))
         rest = chosen.groupBy("query_id").agg(F.max("rest").alias("rest"))
         bounds = staged(rest.join(worst, "query_id", "left").withColumn("closed", F.coalesce(F.col("rest") + MARGIN < F.col("worst"), F.lit(False))))
         others = chosen.filter(~F.col("leads")).join(hinted(bounds, small), "query_id")
-        running = partial.join(hinted(bounds, small), "query_id").filter(~F.col("closed") | (F.col("score") + F.col("rest") + MARGIN >= F.col("worst"))).select("query_id", "user_id", "segment", "chunk_id", "score", "closed")
+        running = partial.join(hinted(bounds, small), "query_id").filter(~F.col("closed") | (F.col("score") + F.col("rest") + MARGIN >= F.col("worst"))).select("query_id", "user_id", "segment", "chunk_id", "sum", "closed")
         running = staged(running)
         needed = self.needed(running.filter("closed"), others.filter("closed"), small)
         open_tokens = others.filter(~F.col("closed")).select("user_id", F.col("term").alias("token")).distinct()
@@ -350,7 +350,8 @@ class PostingsIndex:
         # A closed query's further hits count for chunks in the running only.
         more = more.join(bounds.select("query_id", "closed"), "query_id")
         own = more.filter(~F.col("closed")).select("query_id", "segment", "chunk_id", "idf").unionByName(more.filter("closed").join(running.select("query_id", "segment", "chunk_id"), ["query_id", "segment", "chunk_id"], "left_semi").select("query_id", "segment", "chunk_id", "idf"))
-        total = running.select("query_id", "segment", "chunk_id", F.col("score").alias("idf")).unionByName(own).groupBy("query_id", "segment", "chunk_id").agg(F.sum("idf").alias("score"))
+        own = own.select("query_id", "segment", "chunk_id", parts(F.col("idf")).alias("sum"))
+        total = running.select("query_id", "segment", "chunk_id", "sum").unionByName(own).groupBy("query_id", "segment", "chunk_id").agg((F.sum("sum") / PART).alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "chunk_id")
         top = staged(total.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit))
         owners = self.live("owners", state["segments"]).select("segment", "chunk_id", "document_id")
