@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions.vectors import cosine, hashed_vector, is_valid
+from vellum.operators import lexical
 from vellum.operators.dense import EMBEDDERS, at_least, embed, hashing, nearest, nearest_in_scope, register_embedder
 from vellum.operators.fusion import overlap, reciprocal_rank_fusion
 from vellum.operators.lexical import lexical_query, lexical_search, split_query
@@ -192,3 +193,19 @@ def test_embedder_registry(spark):
     row = embed(spark.createDataFrame([("a",)], "text string"), model="ones", dimension=3).first()
     assert row["embedding"] == [1.0, 1.0, 1.0]
     EMBEDDERS.pop("ones")
+
+
+@pytest.mark.parametrize("few", [lexical.FEW_PHRASES, 0])
+def test_a_text_is_copied_for_sought_tokens_only(spark, monkeypatch, few):
+    """A long text is not copied for each of its words, and phrases are found by a token that need not be their first."""
+    monkeypatch.setattr(lexical, "FEW_PHRASES", few)
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, f"{long} the red house the red barn"), (2, "barn red the"), (3, "The RED barn"), (4, None), (5, "")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").selectExpr("chunk_id", "chunk_id AS document_id", "'u' AS user_id", "text")
+    terms = spark.createDataFrame([(1, "u", "the red barn", 1), (1, "u", "red house the", 1), (1, "u", "barn", 0), (1, "v", "the red", 1)], "query_id long, user_id string, term string, priority int")
+    found = lexical.term_matches(chunks, terms).select("term", "chunk_id").collect()
+    assert sorted(map(tuple, found)) == [("barn", 1), ("barn", 2), ("barn", 3), ("red house the", 1), ("the red barn", 1), ("the red barn", 3)]
+    if few:
+        held = chunks.withColumn("tokens", F.split("text", " "))
+        phrases = spark.createDataFrame([("u", "the red barn", "barn"), ("u", "red house the", "house")], "user_id string, term string, token string")
+        assert lexical.phrase_starts(held, phrases).groupBy().count().first()[0] <= 2 + 4

@@ -16,6 +16,8 @@ MAX_PHRASES, MAX_PHRASE_CHARS = 5, 200
 MAX_TERMS, CANDIDATES = 12, 50
 #: Scores are summed in whole numbers of this part of 1, so that equal terms tie in whatever order they come.
 PART = 1e14
+#: Phrases whose tokens a chunk is compared with before it is taken apart.
+FEW_PHRASES = 1_000
 PARSED = T.StructType([T.StructField("words", T.StringType()), T.StructField("phrases", T.ArrayType(T.StringType()))])
 
 
@@ -66,12 +68,13 @@ def query_terms(queries: DataFrame, *, stop_words: list[str] = STOP_WORDS) -> Da
 def term_matches(chunks: DataFrame, terms: DataFrame, *, small: bool | None = None) -> DataFrame:
     """Distinct ``(user_id, term, chunk_id, document_id)`` where the chunk holds the term.
 
-    A chunk and a term meet by equality on one token, the phrase's first; only
+    A chunk and a term meet by equality on one token, the phrase's longest; only
     then are the adjacent tokens of a phrase compared. So nothing is crossed.
     Terms of a checked number go to every task, and no text is shuffled.
     """
     small = is_small(terms) if small is None else small
-    wanted = terms.select("user_id", "term").distinct().withColumn("token", F.substring_index("term", " ", 1))
+    longest = F.array_max(F.transform(F.split("term", " "), lambda w: F.struct(F.length(w).alias("size"), w.alias("word"))))["word"]
+    wanted = terms.select("user_id", "term").distinct().withColumn("token", longest)
     columns = ["user_id", "term", "chunk_id", "document_id"]
     held = chunks.select("user_id", "chunk_id", "document_id", tokens(F.col("text")).alias("tokens"))
     single = held.select("user_id", "chunk_id", "document_id", F.explode(F.array_distinct("tokens")).alias("token"))
@@ -79,9 +82,31 @@ def term_matches(chunks: DataFrame, terms: DataFrame, *, small: bool | None = No
     phrases = wanted.filter(F.col("term") != F.col("token"))
     if phrases.isEmpty():
         return out
-    has_phrase = F.contains(F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("term"), F.lit(" ")))
-    starts = held.select("user_id", "chunk_id", "document_id", "tokens", F.explode(F.array_distinct("tokens")).alias("token"))
-    return out.unionByName(starts.join(hinted(phrases, small), ["user_id", "token"]).filter(has_phrase).select(*columns))
+    found = phrase_matches(held, phrases, small=small).select(*columns)
+    return found if wanted.filter(F.col("term") == F.col("token")).isEmpty() else out.unionByName(found)
+
+
+def phrase_starts(held: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Each chunk, as ``spaced`` tokens, with every ``token`` of it that phrases may be sought by, or with null for none.
+
+    Each row is a copy of the chunk. So where there are few phrases, a chunk is
+    exploded only to those of its tokens that one is sought by; else its copies
+    grow with the square of its length. Null and empty arrays are not filtered
+    out early, as Spark would then take the tokens twice.
+    """
+    spaced = F.coalesce(F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")), F.lit("")).alias("spaced")
+    sought = F.array_distinct("tokens")
+    if is_small(phrases, FEW_PHRASES):
+        held = held.join(F.broadcast(phrases.groupBy("user_id").agg(F.collect_set("token").alias("anchors"))), "user_id")
+        sought = F.array_intersect("tokens", "anchors")
+    rows = held.select("user_id", "chunk_id", "document_id", spaced, sought.alias("sought"))
+    return rows.select("user_id", "chunk_id", "document_id", "spaced", F.explode_outer("sought").alias("token"))
+
+
+def phrase_matches(held: DataFrame, phrases: DataFrame, *, small: bool) -> DataFrame:
+    """The chunks, given with their ``tokens``, that have a phrase's token and the whole phrase in them."""
+    has_phrase = F.contains("spaced", F.concat(F.lit(" "), F.col("term"), F.lit(" ")))
+    return phrase_starts(held, phrases).join(hinted(phrases, small), ["user_id", "token"]).filter(has_phrase)
 
 
 def idf(n: Column, df: Column) -> Column:
