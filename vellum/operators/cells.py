@@ -31,6 +31,8 @@ PART_ROWS = 250_000
 PROBED = 0.6
 #: For each wanted neighbour, candidates by codes that are scored again by whole vectors.
 REFINE = 4
+#: Distances of queries to cells that the driver holds at once.
+DISTANCES_AT_ONCE = 1_000_000
 
 
 def unit(values: np.ndarray) -> np.ndarray:
@@ -49,6 +51,19 @@ def nearest_cells(rows: np.ndarray, centroids: np.ndarray, count: int) -> np.nda
     return np.argsort(far, axis=1, kind="stable")[:, :count]
 
 
+def asked_cells(rows: np.ndarray, centroids: np.ndarray, count: int) -> np.ndarray:
+    """For each cell a bit for every query that looks into it; made for some queries at a time, as places would take 64 times as much."""
+    bits = np.zeros((len(centroids), -(-len(rows) // 8)), np.uint8)
+    step = 8 * max(1, DISTANCES_AT_ONCE // (8 * len(centroids)))
+    for low in range(0, len(rows), step):
+        some = rows[low : low + step]
+        asked = np.zeros((len(some), len(centroids)), bool)
+        np.put_along_axis(asked, nearest_cells(some, centroids, count), True, axis=1)
+        packed = np.packbits(asked.T, axis=1)
+        bits[:, low // 8 : low // 8 + packed.shape[1]] = packed
+    return bits
+
+
 class CellIndex:
     """Vectors by cell, in a folder: codes of one byte a component to find candidates, and whole vectors to score them.
 
@@ -122,16 +137,18 @@ class CellIndex:
         count = min(len(centroids), max(1, -(-int(len(centroids) * probed * 1000) // 1000)))
         asked = queries.filter(F.size("embedding") == state["dimension"]).select("query_id", "embedding", *([self.tenant] if by_tenant else []))
         size = max(1, asked.count())
-        blocks = max(1, -(-size * state["dimension"] * 8 // max(1, broadcast_bytes)))
+        blocks = max(1, -(-size * (state["dimension"] * 8 + len(centroids) // 8) // max(1, broadcast_bytes)))
         best = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), self.key)
 
         def found(some: DataFrame) -> DataFrame:
-            frame = some.toPandas()
-            rows = unit(np.array([np.asarray(v, np.float64) for v in frame["embedding"]]).reshape(len(frame), state["dimension"]))
-            cells = nearest_cells(rows, centroids, count)
-            stored = self.stored(state).filter(F.col("cell").isin(np.unique(cells).tolist()))  # folders of other cells are not opened
-            tenants = frame[self.tenant].to_numpy() if by_tenant else None
-            few = self.scan(stored, frame["query_id"].tolist(), rows, cells, tenants, k * refine, some.schema["query_id"].dataType)
+            table = some.toArrow()
+            rows = unit(matrix(table.column("embedding").combine_chunks()).reshape(table.num_rows, state["dimension"]))
+            bits = asked_cells(rows, centroids, count) if count < len(centroids) else None  # else every query looks into every cell
+            stored = self.stored(state)
+            if bits is not None:
+                stored = stored.filter(F.col("cell").isin(np.flatnonzero(bits.any(axis=1)).tolist()))  # folders of other cells are not opened
+            tenants = np.array(table.column(self.tenant).to_pylist()) if by_tenant else None
+            few = self.scan(stored, table.column("query_id").to_pylist(), rows.astype(np.float32), bits, tenants, k * refine, some.schema["query_id"].dataType)
             best_codes = Window.partitionBy("query_id").orderBy(F.col("score").desc(), self.key)
             few = staged(few.withColumn("place", F.row_number().over(best_codes)).filter(F.col("place") <= k * refine).select("query_id", self.key, "cell"))
             pairs = stored.select(self.key, "cell", "embedding").join(hinted(few, is_small(few)), [self.key, "cell"])
@@ -143,14 +160,8 @@ class CellIndex:
         dealt = staged(asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
         return reduce(DataFrame.unionByName, [staged(found(dealt.filter(F.col("_block") == b).drop("_block"))) for b in range(blocks)])
 
-    def scan(self, stored: DataFrame, ids: list, rows: np.ndarray, cells: np.ndarray, tenants: np.ndarray | None, keep: int, query_kind: T.DataType) -> DataFrame:
-        """Each task's best candidates of each query by codes, from the cells that the query looks into."""
-        askers: dict[int, np.ndarray] = {}
-        if len(ids):
-            flat, who = cells.ravel(), np.repeat(np.arange(len(ids)), cells.shape[1])
-            order = np.argsort(flat, kind="stable")
-            cuts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-            askers = {int(flat[order][c]): who[order][c:e] for c, e in zip(cuts, np.append(cuts[1:], len(flat)), strict=True)}
+    def scan(self, stored: DataFrame, ids: list, rows: np.ndarray, bits: np.ndarray | None, tenants: np.ndarray | None, keep: int, query_kind: T.DataType) -> DataFrame:
+        """Each task's best candidates of each query by codes, from the cells that the query looks into; without ``bits`` from all."""
         schema = T.StructType([T.StructField("query_id", query_kind), stored.schema[self.key], T.StructField("cell", T.IntegerType()), T.StructField("score", T.DoubleType())])
         key = self.key
 
@@ -158,22 +169,22 @@ class CellIndex:
             best: dict[int, list[tuple]] = {}
             for batch in batches:
                 own_cells = batch.column(1).to_numpy()
-                for cell in np.unique(own_cells).tolist():
-                    asking = askers.get(cell)
-                    if asking is None:
+                for cell in np.unique(own_cells).tolist() if bits is not None else [None]:
+                    asking = np.arange(len(ids)) if bits is None else np.flatnonzero(np.unpackbits(bits[cell], count=len(ids)))
+                    if not len(asking):
                         continue
                     step = max(1, SCORES_AT_ONCE // len(asking))
-                    places = np.flatnonzero(own_cells == cell)
+                    places = np.arange(batch.num_rows) if bits is None else np.flatnonzero(own_cells == cell)
                     for low in range(0, len(places), step):
                         part = batch.take(pa.array(places[low : low + step]))
                         codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.int8).reshape(part.num_rows, -1).astype(np.float32)
-                        scores = (rows[asking].astype(np.float32) @ codes.T) * (part.column(3).to_numpy() / 127)[None, :]
+                        scores = (rows[asking] @ codes.T) * (part.column(3).to_numpy() / 127)[None, :]
                         if tenants is not None:
                             scores[tenants[asking][:, None] != np.array(part.column(4).to_pylist())[None, :]] = -np.inf
-                        keys = part.column(0).to_pylist()
+                        keys, of = part.column(0).to_pylist(), part.column(1).to_pylist()
                         for q, row in zip(asking.tolist(), scores, strict=True):
                             some = np.flatnonzero(row >= np.partition(row, -keep)[-keep]) if len(row) > keep else range(len(row))
-                            best[q] = heapq.nsmallest(keep, best.get(q, []) + [(-float(row[i]), keys[i], cell) for i in some if row[i] > -np.inf])
+                            best[q] = heapq.nsmallest(keep, best.get(q, []) + [(-float(row[i]), keys[i], of[i]) for i in some if row[i] > -np.inf])
             out = [(ids[q], k, cell, -score) for q, own in best.items() for score, k, cell in own]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out, strict=True)], names=["query_id", key, "cell", "score"]).cast(arrow_of(schema))
