@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vellum.operators import dense
 from vellum.operators.dense import blockwise, embed, hashing, nearest
 from vellum.plans import corpus as c
+from vellum.plans.queries_retrieval import pool
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +42,9 @@ def test_vectors_are_scored_in_pieces(spark, monkeypatch):
     whole = sorted(map(tuple, nearest(rows, queries, k=5).collect()))
     monkeypatch.setattr(dense, "COMPONENTS_AT_ONCE", 12)
     assert sorted(map(tuple, nearest(rows, queries, k=5).collect())) == whole and len(whole) == 75
+
+
+def test_texts_of_found_passages_are_not_shuffled(spark):
+    """The few found rows go to the passages; a sort-merge join would shuffle and sort all texts."""
+    plan = pool(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("== Final Plan ==")[-1]

@@ -9,10 +9,11 @@ from vellum.functions.text import STOP_WORDS
 from vellum.operators.cells import CellIndex
 from vellum.operators.dense import at_least, nearest, nearest_in_scope
 from vellum.operators.fusion import overlap, reciprocal_rank_fusion, sweep
+from vellum.operators.joins import hinted, is_small
 from vellum.operators.lexical import lexical_search, query_terms, searchable, term_matches, term_weights, with_readiness
 from vellum.operators.postings import PostingsIndex
 from vellum.operators.rerank import rerank, rerank_head
-from vellum.operators.staging import new_folder
+from vellum.operators.staging import new_folder, staged
 from vellum.plans import corpus as c
 from vellum.plans.search import diagnostics, eligible_vectors, hybrid_search, reranked_search
 from vellum.plans.search import candidates as hybrid_candidates
@@ -120,8 +121,10 @@ def scoped_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best passages of each query by words, to be reranked."""
-    found = lexical_search(c.passages(spark, sf_dir), c.catalogue(spark, sf_dir), c.benchmark_queries(spark, sf_dir), limit=20)
-    return found.join(c.passages(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(c.benchmark_queries(spark, sf_dir).select("query_id", "query"), "query_id").select("query_id", "query", "chunk_id", "text", F.col("rank").alias("retrieval_rank"))
+    found = staged(lexical_search(c.passages(spark, sf_dir), c.catalogue(spark, sf_dir), c.benchmark_queries(spark, sf_dir), limit=20))
+    # The few that were found go to the passages, whose texts are neither shuffled nor sorted.
+    texts = c.passages(spark, sf_dir).select("chunk_id", "text").join(hinted(found, is_small(found)), "chunk_id")
+    return texts.join(c.benchmark_queries(spark, sf_dir).select("query_id", "query"), "query_id").select("query_id", "query", "chunk_id", "text", F.col("rank").alias("retrieval_rank"))
 
 
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
