@@ -1,7 +1,7 @@
 import random
 
 from vellum.functions.text import match_form
-from vellum.operators.duplicates import near_duplicate_classes, near_duplicate_pairs
+from vellum.operators.duplicates import key_bits, near_duplicate_classes, near_duplicate_pairs, window_keys, with_windows, word_candidates, word_sets
 
 
 def brute_classes(spark, rows):
@@ -52,3 +52,23 @@ def test_classes_of_few_rows(spark):
     assert classes([]) == []
     assert classes([(4, None)]) == [(4, 4, 1)]
     assert classes([(1, "x y"), (50, "other"), (900, "X  y")]) == [(1, 1, 2), (50, 50, 1), (900, 1, 2)]
+
+
+def test_word_candidates_come_once_and_not_by_chance(spark):
+    """Twelve texts share six rare words, the rest is of common ones as in forty others; the last two differ in one word."""
+    rng = random.Random(2)
+    common = [f"word{k}" for k in range(80)]
+    texts = [[*(f"rare{k}" for k in range(6)), *rng.sample(common, 54)] for _ in range(12)] + [rng.sample(common, 54) for _ in range(40)]
+    texts += [[f"own{k}" for k in range(60)], [f"own{k}" for k in range(1, 61)]]
+    nodes = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "n long, m string")
+    assert sorted(map(tuple, word_candidates(word_sets(nodes)).collect())) == [(52, 53)]
+
+
+def test_only_sought_windows_are_kept(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcdefgh ", k=3000)) for _ in range(8)]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "n long, m string")
+    probes = with_windows(nodes, 2)
+    kept = [(r.n, r.key) for r in with_windows(nodes, sought=key_bits(probes)).collect()]
+    assert {(r.n, r.key) for r in probes.collect()} <= set(kept)
+    assert len(kept) <= 20 < sum(len(window_keys(t)) for t in texts)

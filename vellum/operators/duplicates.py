@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.batches import pieces
 from vellum.functions.text import match_text, tokens
 from vellum.operators.joins import hinted, is_small
 from vellum.operators.staging import staged
@@ -21,6 +23,14 @@ PROBES = 16
 KEYS_PER_BATCH = 100_000
 #: Words whose frequencies order the words of a text; the others count as rarer.
 COMMON_WORDS = 100_000
+#: Word sets in which frequencies are counted, about.
+SAMPLED_SETS = 20_000
+#: Bits that tell which windows are sought; 16 MB.
+SLOTS = 1 << 27
+#: Bits of a word set, one for each class of hashes.
+PARITY_BITS = 1024
+#: Numbers that are broadcast at most, 8 bytes each.
+FEW_ENDS = 1_000_000
 
 
 def are_near(a: Column, b: Column) -> Column:
@@ -57,16 +67,20 @@ def window_keys(text: str) -> np.ndarray:
     return np.unique(least).view(np.int64)
 
 
-def with_windows(nodes: DataFrame, most: int | None = None) -> DataFrame:
-    """``n, chars, key`` of the windows of each text that is long enough; ``most`` keeps the least keys only."""
+def with_windows(nodes: DataFrame, most: int | None = None, sought: Broadcast | None = None) -> DataFrame:
+    """``n, chars, key`` of the windows of each text that is long enough; ``most`` keeps the least keys only, ``sought`` those whose bit is set."""
     schema = pa.schema([("n", pa.int64()), ("chars", pa.int32()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if sought is None else np.frombuffer(sought.value, np.uint8)
         for batch in batches:
             own, held = [], 0
             for n, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 keys = window_keys(text)[:most]
+                if bits is not None:
+                    slot = keys & (SLOTS - 1)
+                    keys = keys[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
                 own.append((np.full(len(keys), n), np.full(len(keys), len(text), np.int32), keys))
                 held += len(keys)
                 if held >= KEYS_PER_BATCH:
@@ -78,43 +92,126 @@ def with_windows(nodes: DataFrame, most: int | None = None) -> DataFrame:
     return nodes.filter(F.length("m") >= CONTAINED_CHARS).select("n", "m").mapInArrow(run, "n bigint, chars int, key bigint")
 
 
+def key_bits(keys: DataFrame) -> Broadcast:
+    """One bit of ``SLOTS`` for each key; a bit may be shared, so it rules keys out only. Its size doesn't depend on the rows."""
+    slot = F.col("key").bitwiseAND(SLOTS - 1)
+    parts = keys.select(F.shiftright(slot, 15).alias("part"), slot.bitwiseAND((1 << 15) - 1).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = bytearray(SLOTS // 8)
+    for part, bits in parts.collect():
+        out[part << 12 : (part + 1) << 12] = bits
+    return keys.sparkSession.sparkContext.broadcast(bytes(out))
+
+
 def contained_candidates(nodes: DataFrame) -> DataFrame:
-    """``a, b``: all pairs in which ``a`` may lie inside ``b``. A text is sought by the rarest of some of its windows, and only if none of them is its own alone."""
-    windows = with_windows(nodes)
+    """``a, b``: all pairs in which ``a`` may lie inside ``b``. A text is sought by the rarest of some of its windows, and only if none of them is its own alone.
+
+    Only windows that some text is sought by are shuffled.
+    """
+    probes = staged(with_windows(nodes, PROBES))
+    windows = staged(with_windows(nodes, sought=key_bits(probes)))
     counts = windows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
-    probes = with_windows(nodes, PROBES).join(counts, "key", "left")
-    rarest = probes.groupBy("n").agg(F.min_by("key", F.struct("df", "key")).alias("key"), F.max("chars").alias("size"), F.count(F.lit(1)).alias("sought"), F.count("df").alias("found"))
+    found = probes.join(counts, "key", "left")
+    rarest = found.groupBy("n").agg(F.min_by("key", F.struct("df", "key")).alias("key"), F.max("chars").alias("size"), F.count(F.lit(1)).alias("sought"), F.count("df").alias("found"))
     needles = staged(rarest.filter(F.col("sought") == F.col("found")).select(F.col("n").alias("a"), "key", "size"))
     return windows.join(hinted(needles, is_small(needles)), "key").filter(F.col("chars") > F.col("size")).select("a", F.col("n").alias("b"))
 
 
+def word_sets(nodes: DataFrame) -> DataFrame:
+    """``n, set, words`` of each text: a digest of its distinct words, and their 64-bit hashes in order. Texts are taken apart only here."""
+    words = F.array_distinct(tokens(F.col("m")))
+    rows = nodes.select("n", words.alias("words"))
+    return staged(rows.select("n", F.unhex(F.sha2(F.array_join(F.array_sort("words"), " "), 256)).alias("set"), F.sort_array(F.transform("words", lambda w: F.xxhash64(w))).alias("words"))).filter(F.size("words") > 0)
+
+
+def common_words(sets: DataFrame) -> Broadcast:
+    """Hashes of words in ascending order, and in how many sets of a sample each is.
+
+    They only put words in an order, and any order is complete, so a sample
+    costs no pair.
+    """
+    size = sets.count()
+    some = sets.sample(min(1.0, SAMPLED_SETS / size), seed=1) if size else sets
+    rows = some.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "word").limit(COMMON_WORDS).collect()
+    found = np.array(sorted(map(tuple, rows)) or [(0, 0)], np.int64)
+    return sets.sparkSession.sparkContext.broadcast((found[:, 0].copy(), found[:, 1].copy()))
+
+
+def first_words(sets: DataFrame) -> DataFrame:
+    """``n, size, at, word``: the rarest tenth of each set's words. Sets of fewer than nine words are within nine tenths of equal sets only."""
+    known = common_words(sets)
+    schema = pa.schema([("n", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("word", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, df = known.value
+        for batch in (piece for whole in batches for piece in pieces(whole)):
+            n, words = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
+            size = np.asarray(batch.column(1).value_lengths())
+            place = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+            row = np.repeat(np.arange(len(n)), size)
+            words = words[np.lexsort((words, np.where(keys[place] == words, df[place], 0), row))]
+            at = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
+            first = at < (size - (9 * size + 9) // 10 + 1)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((n[row[first]], size[row[first]].astype(np.int32), at[first].astype(np.int32), words[first]), schema, strict=True)], schema=schema)
+
+    return sets.filter(F.size("words") >= 9).select("n", "words").mapInArrow(run, "n bigint, size int, at int, word bigint")
+
+
+def with_parities(sets: DataFrame) -> DataFrame:
+    """``n, size, bits``: whether an odd number of a set's words fall on each bit. Two sets differ in no fewer words than bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
+            size = np.asarray(batch.column(1).value_lengths())
+            slot = np.repeat(np.arange(len(size)) * PARITY_BITS, size) + (batch.column(1).flatten().to_numpy() & (PARITY_BITS - 1))
+            odd = np.bincount(slot, minlength=len(size) * PARITY_BITS) & 1
+            bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(bits), PARITY_BITS // 64).cast(pa.list_(pa.int64()))], names=["n", "size", "bits"])
+
+    return sets.select("n", "words").mapInArrow(run, "n bigint, size int, bits array<bigint>")
+
+
 def word_candidates(sets: DataFrame) -> DataFrame:
     """``a, b``: all pairs of word sets that may share nine tenths; a prefix filter.
 
     In any one order of words two such sets meet in their first tenths. The
-    rarest words come first, so that few others meet there.
+    rarest words come first, so that few others meet there. Most pairs that
+    meet by chance are told by their parities.
     """
-    common = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "word").limit(COMMON_WORDS)
-    known = sets.sparkSession.sparkContext.broadcast({r["word"]: r["df"] for r in common.collect()})
-    schema = pa.schema([("n", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("word", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = known.value
-        for batch in batches:
-            rows = []
-            for n, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = sorted(words.as_py(), key=lambda w: (df.get(w, 0), w))
-                rows += [(n, len(words), at, w) for at, w in enumerate(words[: len(words) - (9 * len(words) + 9) // 10 + 1])]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, schema, strict=True)], schema=schema)
-
-    # Sets of fewer than nine words are within nine tenths of equal sets only.
-    firsts = sets.filter(F.size("words") >= 9).select("n", "words").mapInArrow(run, "n bigint, size int, at int, word string")
+    firsts = staged(first_words(sets))
     left, right = (firsts.select(F.col("n").alias(x), F.col("size").alias(f"{x}_size"), F.col("at").alias(f"{x}_at"), "word") for x in "ab")
     a, b = F.col("a_size"), F.col("b_size")
     ahead = F.least(a - F.col("a_at"), b - F.col("b_at"))
     # The most words in common if this is the first one.
     meets = (10 * a >= 9 * b) & ((a < b) | ((a == b) & (F.col("a") < F.col("b")))) & (19 * ahead >= 9 * (a + b))
-    return left.join(right, "word").filter(meets).select("a", "b")
+    pairs = staged(left.join(right, "word").filter(meets).select("a", "b").distinct())
+    known = staged(with_parities(sets))
+    for x in "ab":
+        pairs = pairs.join(known.select(F.col("n").alias(x), F.col("size").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits")), x)
+    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return pairs.filter(19 * apart <= a + b).select("a", "b")
+
+
+def of_ends(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows whose ``n`` is an end of a pair."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    return rows.join(hinted(ends, is_small(ends, FEW_ENDS)), "n", "left_semi")
+
+
+def near_by_words(sets: DataFrame) -> DataFrame:
+    """``a, b``: pairs of unequal word sets that share nine tenths."""
+    pairs = staged(word_candidates(sets))
+    asked = of_ends(sets, pairs)
+    left, right = (asked.select(F.col("n").alias(x), F.col("words").alias(f"{x}_words")) for x in "ab")
+    shared = F.size(F.array_intersect("a_words", "b_words"))
+    return pairs.join(left, "a").join(right, "b").filter(19 * shared >= 9 * (F.size("a_words") + F.size("b_words"))).select("a", "b")
+
+
+def near_by_containment(nodes: DataFrame) -> DataFrame:
+    """``a, b``: pairs of which ``a`` lies inside ``b`` and is long enough."""
+    pairs = staged(contained_candidates(nodes))
+    asked = of_ends(nodes, pairs)
+    left, right = (asked.select(F.col("n").alias(x), F.col("m").alias(f"{x}_text")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").filter(F.contains("b_text", F.col("a_text"))).select("a", "b")
 
 
 def least_reachable(links: DataFrame) -> DataFrame:
@@ -135,7 +232,7 @@ def least_reachable(links: DataFrame) -> DataFrame:
 
 def without(rows: DataFrame, others: DataFrame) -> DataFrame:
     """Rows whose ``n`` is not among the others, which are mostly few."""
-    return rows.join(hinted(others, is_small(others)), "n", "left_anti")
+    return rows.join(hinted(others, is_small(others, FEW_ENDS)), "n", "left_anti")
 
 
 def near_duplicate_classes(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,25 +240,22 @@ def near_duplicate_classes(texts: DataFrame, *, id_col: str = "doc_id", text_col
 
     No pair is lost: equal texts are one node, equal word sets are linked, and
     the candidate searches for contained texts and shared words are complete;
-    ``are_near`` then decides. A class's id is the least id in it, null if it
-    has no other. A null text is near to nothing and a class of its own. The
-    cost grows with the candidate pairs, so with the square of a group of
-    unequal texts that all hold the same rare words or windows.
+    texts, or hashes of all words, then decide as ``are_near`` does. A class's
+    id is the least id in it, null if it has no other. A null text is near to
+    nothing and a class of its own. The cost grows with the candidate pairs, so
+    with the square of a group of unequal texts that all hold the same rare
+    words or windows.
     """
     forms = texts.select(F.col(id_col).alias("doc_id"), match_text(F.col(text_col)).alias("m"))
     rows = staged(forms.select(F.monotonically_increasing_id().alias("n"), "doc_id", F.unhex(F.sha2("m", 256)).alias("sha"), "m"))
     keyed = rows.select("n", "doc_id", "sha").filter(F.col("sha").isNotNull())
     of_sha = staged(keyed.select("n", "sha").join(keyed.groupBy("sha").agg(F.min("n").alias("node")), "sha").select("n", "node"))
     nodes = without(rows.select("n", "m").filter(F.col("m").isNotNull()), of_sha.filter(F.col("n") != F.col("node")).select("n"))
-    worded = nodes.withColumn("words", F.array_distinct(tokens(F.col("m")))).filter(F.size("words") > 0)
-    members = staged(worded.select("n", F.unhex(F.sha2(F.array_join(F.array_sort("words"), " "), 256)).alias("set")))
+    worded = word_sets(nodes)
+    members = worded.select("n", "set")
     same_words = staged(members.join(members.groupBy("set").agg(F.min("n").alias("a")), "set").filter(F.col("n") != F.col("a")).select("a", F.col("n").alias("b")))
     sets = without(worded.select("n", "words"), same_words.select(F.col("b").alias("n")))
-    pairs = staged(contained_candidates(nodes).unionByName(word_candidates(sets)).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    asked = nodes.join(hinted(ends, is_small(ends)), "n", "left_semi")
-    left, right = (asked.select(F.col("n").alias(x), F.col("m").alias(f"{x}_text")) for x in "ab")
-    near = pairs.join(left, "a").join(right, "b").filter(are_near(F.col("a_text"), F.col("b_text"))).select("a", "b")
+    near = near_by_containment(nodes).unionByName(near_by_words(sets))
     roots = least_reachable(same_words.unionByName(near))
     held = keyed.select("n", "doc_id").join(of_sha, "n").join(roots.withColumnRenamed("n", "node"), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     classes = held.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
