@@ -1,6 +1,10 @@
+import os
 import random
 
+import pytest
+
 from vellum.functions.text import match_form
+from vellum.operators import duplicates, staging
 from vellum.operators.duplicates import key_bits, near_duplicate_classes, near_duplicate_pairs, window_keys, with_windows, word_candidates, word_sets
 
 
@@ -72,3 +76,39 @@ def test_only_sought_windows_are_kept(spark):
     kept = [(r.n, r.key) for r in with_windows(nodes, sought=key_bits(probes)).collect()]
     assert {(r.n, r.key) for r in probes.collect()} <= set(kept)
     assert len(kept) <= 20 < sum(len(window_keys(t)) for t in texts)
+
+
+def bytes_below(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def test_texts_and_words_are_not_left_behind(spark):
+    """What the classes are made of goes before they are returned, here 3 MB of texts and as much of words."""
+    rng = random.Random(5)
+    top = staging.with_shared_folder(spark).removeprefix("file:")
+    texts = spark.createDataFrame([(n, " ".join("".join(rng.choices("abcdefgh", k=8)) for _ in range(350))) for n in range(1000)], "doc_id long, text string")
+    before = bytes_below(top)
+    assert near_duplicate_classes(texts).select("class_size").distinct().collect() == [(1,)]
+    assert bytes_below(top) - before < 1_000_000
+
+
+def test_shuffles_of_settled_rows_go(spark):
+    with staging.shuffles_go(spark):
+        assert spark.conf.get(staging.SHUFFLES_GO) == "true"
+    assert spark.conf.get(staging.SHUFFLES_GO) == "false"
+    with pytest.raises(ValueError), staging.scratch(spark) as keep:
+        kept = keep(spark.range(9).groupBy("id").count())
+        assert kept.count() == 9
+        raise ValueError
+    assert not os.path.exists(os.path.dirname(kept.inputFiles()[0].removeprefix("file://")))
+
+
+def test_texts_and_words_are_not_compared_for_each_pair_of_a_group(spark, monkeypatch):
+    """Thirty texts that each lack one other word make 435 pairs, a part of the first one 30 more; 30 of them join the group."""
+    compared = []
+    for name in ("sharing", "holding"):
+        monkeypatch.setattr(duplicates, name, lambda rows, pairs, f=getattr(duplicates, name): (compared.append(pairs.count()), f(rows, pairs))[1])
+    words = [f"word{k}" for k in range(60)]
+    rows = [(n, " ".join(w for k, w in enumerate(words) if k != n)) for n in range(30)] + [(99, " ".join(words[40:]))]
+    found = near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r[1:]) for r in found} == {(0, 31)} and sum(compared) < 70
